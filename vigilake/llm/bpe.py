@@ -25,8 +25,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from vigilake.llm.common import map_rows, table
 
-#: Texts of one word, a leading space apart, that a worker remembers before it starts afresh.
-MEMO_WORDS = 300_000
+#: Words that a task remembers, twice over: the last so many, and those before them.
+MEMO_WORDS = 150_000
 
 
 @functools.cache
@@ -87,52 +87,64 @@ class Encoder:
     The pre-tokenizer always breaks before a space that is followed by a visible character,
     so the pieces of ``text.split(" ")`` can be encoded apart and remembered. Texts with
     other uses of spaces, or with the string of an added token, go to the library as a whole.
+    Words not seen lately are encoded as one text per lot, which is cut at the words again.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.size = np.array([len(b) for b in token_bytes(definition)])
         self.memo: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [
-            np.array(e.ids, np.uint32).tobytes()
+            np.array(e.ids, np.uint32)
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of each word with a space before it."""
+        ids = self._whole(["".join([f" {w}" for w in words])])[0]
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1).tolist()
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(words, cuts, strict=True):
+            self.memo[w] = raw[4 * at : 4 * cut]
+            at = cut
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) + len(self.first) > MEMO_WORDS:
-            self.memo.clear()
-            self.first.clear()
-        memo, first = self.memo, self.first
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         split = [(t or "").split(" ") for t in texts]
-        whole = {
-            k
-            for k, t in enumerate(texts)
-            if t and any(a in t for a in self.added) or any(not x or x[0].isspace() for x in split[k][1:])
-        }
-        rest: dict[str, None] = {}
-        heads: dict[str, None] = {}
+        new: dict[str, None] = {}
+        whole = {}
         for k, words in enumerate(split):
-            if k in whole:
-                continue
-            if words[0] not in first:
-                heads[words[0]] = None
-            for w in words[1:]:
+            t, tail = texts[k], iter(words)
+            next(tail)
+            for w in tail:
                 if w not in memo:
-                    rest[w] = None
-        first.update(zip(heads, self._whole(list(heads)), strict=True))
-        memo.update(zip(rest, self._whole([f" {w}" for w in rest]), strict=True))
-        plain = dict(zip(sorted(whole), self._whole([texts[k] for k in sorted(whole)]), strict=True))
+                    if w in older:
+                        memo[w] = older[w]
+                    elif not w or w[0].isspace():
+                        whole[k] = t
+                        break
+                    else:
+                        new[w] = None
+            if t and any(a in t for a in self.added):
+                whole[k] = t
+        if new:
+            self._learn(list(new))
+        first = self._whole([t if k in whole else split[k][0] for k, t in enumerate(texts)])
         return [
-            plain[k] if k in whole else first[words[0]] + b"".join([memo[w] for w in words[1:]])
-            for k, words in enumerate(split)
+            head.tobytes() if k in whole else head.tobytes() + b"".join([memo[w] for w in words[1:]])
+            for k, (head, words) in enumerate(zip(first, split, strict=True))
         ]
 
 
-def in_small_lots(texts: list[str | None], lot: int = 4_000_000) -> Iterable[list[str | None]]:
+def in_small_lots(texts: list[str | None], lot: int = 1_000_000) -> Iterable[list[str | None]]:
     """Lots of at most about ``lot`` characters, so that a batch of long texts needs little memory."""
     out: list[str | None] = []
     n = 0

@@ -47,6 +47,14 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of at most ``rows`` rows from here on in this session: texts can be long,
+    and a worker and its executor hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def map_rows(
     df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]]
 ) -> DataFrame:
@@ -55,6 +63,7 @@ def map_rows(
     The callable gets the batch as lists by column and returns lists by output column.
     """
     spark = df.sparkSession
+    small_batches(spark)
     out = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
