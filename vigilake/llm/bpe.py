@@ -25,8 +25,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from vigilake.llm.common import map_rows, table
 
-#: Words that a task remembers, twice over: the last so many, and those before them.
-MEMO_WORDS = 150_000
+#: Words that a worker remembers, twice over: the last so many, and those before them.
+MEMO_WORDS = 400_000
 
 
 @functools.cache
@@ -81,8 +81,14 @@ def token_bytes(definition: str) -> list[bytes]:
     return out
 
 
+@functools.cache
+def encoder_of(definition: str) -> Encoder:
+    """The worker process's encoder: what it remembers serves its later tasks too."""
+    return Encoder(definition)
+
+
 class Encoder:
-    """Encodes whole texts; one per task.
+    """Encodes whole texts; one per worker process.
 
     The pre-tokenizer always breaks before a space that is followed by a visible character,
     so the pieces of ``text.split(" ")`` can be encoded apart and remembered. Texts with
@@ -187,8 +193,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     schema = StructType([*kept.schema.fields, *(StructField(n, ArrayType(IntegerType())) for n in names)])
 
     def run(batches):
-        encoder = Encoder(definition.value)
-        size = np.array([len(b) for b in token_bytes(definition.value)])
+        encoder = encoder_of(definition.value)
+        size = encoder.size
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             ids = [np.frombuffer(x, np.uint32) for lot in in_small_lots(texts) for x in encoder.encode(lot)]
@@ -220,7 +226,7 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     definition = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
 
     def make():
-        encoder, back = Encoder(definition.value), token_bytes(definition.value)
+        encoder, back = encoder_of(definition.value), token_bytes(definition.value)
         decimal = [str(i) for i in range(len(back))]
 
         def work(batch):

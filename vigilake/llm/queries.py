@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, media
+from vigilake.llm import bpe, chat, media, packing
 
 
 def queries() -> dict:
     return {
         "op4_chat_formatting": chat.query,
         "op6_byte_bpe": bpe.query,
+        "op8_best_fit_packing": packing.query,
         "op9_media_matroska": media.query,
     }
 
