@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, media, packing
+from vigilake.llm import bpe, chat, exact_dedup, media, packing
 
 
 def queries() -> dict:
     return {
+        "op2_exact_dedup": exact_dedup.query,
         "op4_chat_formatting": chat.query,
         "op6_byte_bpe": bpe.query,
         "op8_best_fit_packing": packing.query,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.ORACLE}
