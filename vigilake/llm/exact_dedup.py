@@ -63,6 +63,7 @@ def fold(index: DataFrame, path: str, checkpoint: str) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space in advance
     }
     before = {k: spark.conf.get(k, None) for k in options}
     for k, v in options.items():
