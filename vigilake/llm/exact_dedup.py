@@ -123,7 +123,7 @@ def assign(docs: DataFrame, text: str = "text", digest=sha256, checkpoint: str |
 
     several = state.filter("group_size > 1")
     texts = source.select(*LOCATOR, normalised().alias("bytes")).withColumn("digest", digest(F.col("bytes")))
-    texts = possible_hits(texts, several).join(several, "digest")
+    texts = materialize(possible_hits(texts, several), "dedup-hits").join(several, "digest")
     first = texts.filter(KEPT).select("digest", F.col("bytes").alias("first"))
     # no distinct(): it would keep the skew join from splitting a hot digest
     odd = materialize(texts.join(first, "digest").filter("bytes <> first").select("digest"), "dedup-collisions")
