@@ -123,8 +123,10 @@ def assign(docs: DataFrame, text: str = "text", digest=sha256, checkpoint: str |
 
     several = state.filter("group_size > 1")
     texts = source.select(*LOCATOR, normalised().alias("bytes")).withColumn("digest", digest(F.col("bytes")))
-    texts = materialize(possible_hits(texts, several), "dedup-hits").join(several, "digest")
-    first = texts.filter(KEPT).select("digest", F.col("bytes").alias("first"))
+    texts = materialize(possible_hits(texts, several), "dedup-hits")
+    # by locator, of which there is one each; the join by digest then stands alone, so that it can be split
+    kept = several.select(*[F.col(f"keep_{c}").alias(c) for c in LOCATOR])
+    first = texts.join(kept, list(LOCATOR)).select("digest", F.col("bytes").alias("first"))
     # no distinct(): it would keep the skew join from splitting a hot digest
     odd = materialize(texts.join(first, "digest").filter("bytes <> first").select("digest"), "dedup-collisions")
     out = (
@@ -134,8 +136,7 @@ def assign(docs: DataFrame, text: str = "text", digest=sha256, checkpoint: str |
     )
     if odd.isEmpty():
         return out
-    apart = texts.join(odd, "digest", "left_semi").drop("keep_id", *[f"keep_{c}" for c in LOCATOR], "group_size")
-    apart = apart.join(index, ["digest", *LOCATOR])
+    apart = texts.join(odd, "digest", "left_semi").join(index, ["digest", *LOCATOR])
     keys = apart.groupBy("digest", "bytes").agg(
         F.max(F.struct("doc_id", *LOCATOR)).alias("keeper"), F.count(F.lit(1)).alias("group_size")
     )
