@@ -19,34 +19,16 @@ columns are ignored by ``assign`` and kept by ``drop_copies``. An empty table gi
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilake.llm.common import lower_ascii, materialize, scratch_path, table
+from vigilake.llm.common import LOCATOR, located, lower_ascii, materialize, scratch_path, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of a digest that address the bitmap of digests with several rows: 2**24 bits are 2 MB.
 FILTER_BITS = 24
-#: Names of the locator columns, not likely to clash with any column of a table.
-LOCATOR = ("locator_file", "locator_row")
-
 KEPT = " AND ".join(f"{c} = keep_{c}" for c in LOCATOR)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its locator, file and row number: where the row's content is. Other inputs than files are written first."""
-    if {*LOCATOR} <= {*docs.columns}:
-        return docs
-    names = [c for c in docs.columns if c not in LOCATOR]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    try:
-        return kept.select("*", F.col("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1]))
-    except AnalysisException:
-        return materialize(kept, "dedup-input").select(
-            "*", F.col("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1])
-        )
-
-
 def normalised(text: str = "text") -> Column:
     return lower_ascii(F.coalesce(F.col(text), F.lit("")))
 

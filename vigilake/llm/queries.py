@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, exact_dedup, media, packing
+from vigilake.llm import bpe, chat, exact_dedup, media, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op4_chat_formatting": chat.query,
+        "op5_simhash_gray": simhash.query,
         "op6_byte_bpe": bpe.query,
         "op8_best_fit_packing": packing.query,
         "op9_media_matroska": media.query,
