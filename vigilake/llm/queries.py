@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, exact_dedup, media, packing, simhash
+from vigilake.llm import bpe, chat, exact_dedup, media, packing, simhash, tag_paths, warc
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.query,
+        "op3_tag_paths": tag_paths.query,
         "op4_chat_formatting": chat.query,
         "op5_simhash_gray": simhash.query,
         "op6_byte_bpe": bpe.query,
         "op8_best_fit_packing": packing.query,
         "op9_media_matroska": media.query,
+        "op10_warc_derivatives": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op10_warc_derivatives": warc.ORACLE}
