@@ -167,7 +167,8 @@ def path_scores(rows: list[Block]) -> np.ndarray:
     ratio = {p: length[p] / n * np.log2(2 + points[p] / n) * np.log2(1 + n) for p, n in count.items()}
     raw = np.array([0.0 if chrome else ratio[path] for _, path, chrome, *_ in rows])
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    return np.convolve(np.pad(raw, 2), kernel / kernel.sum(), "valid")
+    smooth = np.convolve(np.pad(raw, 2), kernel / kernel.sum(), "valid")
+    return np.sqrt(raw * smooth)  # of a block and its neighbours, both must be rich
 
 
 def main_text(page: str | None) -> str:
