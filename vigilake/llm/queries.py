@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, exact_dedup, media, packing, simhash, tag_paths, warc
+from vigilake.llm import bpe, chat, exact_dedup, media, packing, quality, simhash, tag_paths, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality_mil": quality.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_tag_paths": tag_paths.query,
         "op4_chat_formatting": chat.query,
