@@ -131,7 +131,7 @@ def fit(x: np.ndarray, count: np.ndarray, label: np.ndarray, seed: int = 5) -> M
     w = {"W": init(FEATURES, HIDDEN), "Wb": np.zeros(HIDDEN), "V": init(HIDDEN, GATES), "U": init(HIDDEN, GATES), "w": init(GATES), "c": init(HIDDEN), "cb": np.zeros(())}
     share = float(label.mean()) if len(label) else 0.5
     model = Model(centre, scale, w)
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         w["c"] = np.zeros(HIDDEN)
         w["cb"] = np.array(np.log((share + 1e-9) / (1 - share + 1e-9)) if len(label) else 0.0)
         return model
