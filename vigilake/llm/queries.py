@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, exact_dedup, media, packing, quality, simhash, tag_paths, warc
+from vigilake.llm import bpe, chat, exact_dedup, lm, media, packing, quality, simhash, tag_paths, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_chat_formatting": chat.query,
         "op5_simhash_gray": simhash.query,
         "op6_byte_bpe": bpe.query,
+        "op7_context_mixing": lm.query,
         "op8_best_fit_packing": packing.query,
         "op9_media_matroska": media.query,
         "op10_warc_derivatives": warc.query,
