@@ -6,7 +6,10 @@ from vigilake.llm import bpe, chat, exact_dedup, lm, media, packing, quality, si
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_mil": quality.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_tag_paths": tag_paths.query,
