@@ -52,6 +52,15 @@ def test_ratios_choose_without_article():
     assert tag_paths.main_text(page).count("\n") == 12
 
 
+def test_ratios_decide_beside_a_teaser():
+    body = [f"Sentence {k}, with some length; and, points. Here it goes on, and on." for k in range(12)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    page = f"<body><article class=card><h3>Next</h3><p>Read it</p></article><div><h1>Title</h1>{text}</div><div><span>tiny</span></div></body>"
+    assert tag_paths.main_text(page) == "\n".join(["Title", *body])
+    page = f"<body><div><p>small print, beside</p></div><main><h1>Title</h1>{text}<ul><li>a</ul></main></body>"
+    assert tag_paths.main_text(page) == "\n".join(["Title", *body, "a"])
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<main>" + "<p>ab</p>" * 20000, "x"), (1, "u", "<main>a", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in tag_paths.extract(df).collect()) == [0, 1, 59_999]

@@ -3,10 +3,12 @@
 A page is read into blocks (runs of text between block-level tags), each with its root-to-leaf
 tag path. Per path, text length and punctuation are gathered and put in relation to the number
 of its blocks; the two ratios are fused, smoothed over neighbouring blocks of the page, and the
-blocks of paths above a threshold are content. Structure that pages state themselves comes
-first: paths through navigation, page header and footer, aside, forms, scripts, styles, hidden
-parts and elements named as adverts, notices or comments never hold content; where a page has
-<article> or <main>, the rest outside them doesn't either, and inside them each path counts.
+blocks of paths above a threshold are content. This is done for every page. Structure that pages
+state themselves weighs the ratios: paths through navigation, page header and footer, aside, forms,
+scripts, styles, hidden parts and elements named as adverts, notices or comments weigh nothing;
+paths inside <article> or <main> weigh double, and a path outside them has to reach half of the
+best one inside. An <article> or <main> that holds a chosen path is content as a whole (headings
+and short parts go with it); one that holds none, such as a teaser, isn't.
 
 Text: character references decoded, white space of a block turned into one space and trimmed,
 blocks joined by one line feed.
@@ -60,6 +62,8 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\
 _SPACE, _WORD, _PUNCTUATION = re.compile(r"\s+"), re.compile(r"[a-z0-9]+"), re.compile(r"[^\w\s]")
 #: Times the spread of the fused ratios over a page's blocks that a path needs.
 THRESHOLD = 0.35
+#: Weight of a path inside <article> or <main>; share of the best such path that a path outside needs.
+INSIDE, OUTSIDE = 2.0, 0.5
 
 
 def _is_chrome(tag: str, attributes: str) -> bool:
@@ -80,15 +84,15 @@ def _is_chrome(tag: str, attributes: str) -> bool:
     return False
 
 
-Block = tuple[str, str, bool, bool, tuple[int, ...]]
+Block = tuple[str, str, bool, int, tuple[int, ...]]
 
 
 def blocks(page: str) -> list[Block]:
-    """(text, tag path, chrome, inside content element, numbers of the open elements) of every block that isn't blank."""
+    """(text, tag path, chrome, number of the outermost content element or 0, numbers of the open elements) of every block that isn't blank."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, chrome so far, content so far, number
+    stack: list[tuple[str, bool, int, int]] = []  # tag, chrome so far, outermost content element, number
     held: list[str] = []
-    path: list = ["", False, False, ()]
+    path: list = ["", False, 0, ()]
     number = 0
 
     def flush():
@@ -108,7 +112,7 @@ def blocks(page: str) -> list[Block]:
         pos = m.end()
         if m[4] is not None:
             if not held or held[-1].isspace():  # the block is where its first visible text is
-                top = stack[-1] if stack else ("", False, False, 0)
+                top = stack[-1] if stack else ("", False, 0, 0)
                 path[:] = ["/".join([x[0] for x in stack]), top[1], top[2], tuple([x[3] for x in stack])]
             held.append(m[4])
             continue
@@ -147,12 +151,12 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        above = stack[-1] if stack else ("", False, False, 0)
+        above = stack[-1] if stack else ("", False, 0, 0)
         chrome = above[1] or _is_chrome(tag, m[3])
         if chrome and not above[1]:
             flush()
         number += 1
-        stack.append((tag, chrome, above[2] or tag in CONTENT, number))
+        stack.append((tag, chrome, above[2] or (number if tag in CONTENT else 0), number))
     flush()
     return out
 
@@ -165,7 +169,7 @@ def path_scores(rows: list[Block]) -> np.ndarray:
         points[path] += len(_PUNCTUATION.findall(text))
         count[path] += 1
     ratio = {p: length[p] / n * np.log2(2 + points[p] / n) * np.log2(1 + n) for p, n in count.items()}
-    raw = np.array([0.0 if chrome else ratio[path] for _, path, chrome, *_ in rows])
+    raw = np.array([0.0 if chrome else ratio[path] * (INSIDE if inside else 1.0) for _, path, chrome, inside, _ in rows])
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = np.convolve(np.pad(raw, 2), kernel / kernel.sum(), "valid")
     return np.sqrt(raw * smooth)  # of a block and its neighbours, both must be rich
@@ -173,22 +177,27 @@ def path_scores(rows: list[Block]) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     rows = blocks(page or "")
-    if any(inside and not chrome for _, _, chrome, inside, _ in rows):
-        keep = [inside and not chrome for _, _, chrome, inside, _ in rows]
-    elif rows:
-        score = path_scores(rows)
-        by_path: dict[str, list[float]] = {}
-        for (_, path, *_), s in zip(rows, score, strict=True):
-            by_path.setdefault(path, []).append(s)
-        bar = THRESHOLD * score.std()
-        chosen = {p for p, s in by_path.items() if np.mean(s) >= bar}
-        heaviest = max(chosen or by_path, key=lambda p: sum(len(t) for t, q, c, *_ in rows if q == p and not c))
-        # what stands beside the heaviest path, headings say, goes with it
-        around = {opened[-2] for _, path, chrome, _, opened in rows if path == heaviest and not chrome and len(opened) > 1}
-        keep = [(path in chosen or not around.isdisjoint(opened)) and not chrome for _, path, chrome, _, opened in rows]
-    else:
-        keep = []
-    return "\n".join(text for (text, *_), k in zip(rows, keep, strict=True) if k)
+    if not rows:
+        return ""
+    score = path_scores(rows)
+    by_path: dict[str, list[float]] = {}
+    weight: Counter[str] = Counter()
+    held: set[str] = set()  # paths inside content elements
+    for (text, path, chrome, inside, _), s in zip(rows, score, strict=True):
+        by_path.setdefault(path, []).append(s)
+        if not chrome:
+            weight[path] += len(text)
+            if inside:
+                held.add(path)
+    mean = {p: float(np.mean(s)) for p, s in by_path.items()}
+    bar = THRESHOLD * score.std()
+    beside = max(bar, OUTSIDE * max((mean[p] for p in held), default=0.0))
+    chosen = {p for p, s in mean.items() if s >= (bar if p in held else beside)}
+    heaviest = max(chosen or by_path, key=lambda p: weight[p])
+    # what stands beside the heaviest path, headings say, goes with it
+    around = {opened[-2] for _, path, chrome, inside, opened in rows if path == heaviest and not (chrome or inside) and len(opened) > 1}
+    around |= {inside for _, path, chrome, inside, _ in rows if inside and not chrome and path in chosen}
+    return "\n".join(text for text, path, chrome, _, opened in rows if not chrome and (path in chosen or not around.isdisjoint(opened)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
