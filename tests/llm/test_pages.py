@@ -61,6 +61,18 @@ def test_ratios_decide_beside_a_teaser():
     assert tag_paths.main_text(page) == "\n".join(["Title", *body, "a"])
 
 
+@pytest.mark.parametrize("start", ["<div class='main has-sidebar'>", "<article class='post no-comments'>", "<div id='search-result-article'>", "<section class='legal'>"])
+def test_names_are_whole_and_spare_the_heaviest_path(start):
+    body = [f"Sentence {k}, with some length; and, points. Here it goes on, and on." for k in range(12)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    page = f"<body><div class='ad'>buy this, now</div>{start}{text}<div class='comments'><p>Great!</p></div></{start[1:].split()[0]}></body>"
+    assert tag_paths.main_text(page) == "\n".join(body)
+
+
+def test_headline_in_the_header_of_an_article():
+    assert tag_paths.main_text("<header><h1>Site</h1></header><article><header><h1>T</h1><p>by me</p></header><p>one</article>") == "T\none"
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<main>" + "<p>ab</p>" * 20000, "x"), (1, "u", "<main>a", "x")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in tag_paths.extract(df).collect()) == [0, 1, 59_999]

@@ -7,7 +7,8 @@ blocks of paths above a threshold are content. This is done for every page. Stru
 state themselves weighs the ratios: paths through navigation, page header and footer, aside, forms,
 scripts, styles, hidden parts and elements named as adverts, notices or comments weigh nothing;
 paths inside <article> or <main> weigh double, and a path outside them has to reach half of the
-best one inside. An <article> or <main> that holds a chosen path is content as a whole (headings
+best one inside. Names are whole tokens of class and id; an element that holds most of the page's
+heaviest path isn't taken out for its name, and headings in an article's <header> stay. An <article> or <main> that holds a chosen path is content as a whole (headings
 and short parts go with it); one that holds none, such as a teaser, isn't.
 
 Text: character references decoded, white space of a block turned into one space and trimmed,
@@ -59,50 +60,58 @@ ENDS = {
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "template", "object", "ul", "ol", "dl", "select"})
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPACE, _WORD, _PUNCTUATION = re.compile(r"\s+"), re.compile(r"[a-z0-9]+"), re.compile(r"[^\w\s]")
+_SPACE, _PUNCTUATION = re.compile(r"\s+"), re.compile(r"[^\w\s]")
 #: Times the spread of the fused ratios over a page's blocks that a path needs.
 THRESHOLD = 0.35
 #: Weight of a path inside <article> or <main>; share of the best such path that a path outside needs.
 INSIDE, OUTSIDE = 2.0, 0.5
+#: Characters of the heaviest path from which an element with a name of CHROME_NAMES can hold it, and what such characters weigh.
+HELD, NAMED = 400, 0.1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _is_chrome(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is chrome by what it is, and whether its class or id names it so."""
+    named = False
     if tag in CHROME:
-        return True
+        return True, False
     if not attributes or tag in ("body", "html"):
-        return False
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(_WORD.findall(value)):
-            return True
+        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(value.split()):
+            named = True
         if name == "role" and value.strip() in CHROME_ROLES:
-            return True
+            return True, named
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, named
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 Block = tuple[str, str, bool, int, tuple[int, ...]]
+Named = tuple[int, ...]
 
 
-def blocks(page: str) -> list[Block]:
-    """(text, tag path, chrome, number of the outermost content element or 0, numbers of the open elements) of every block that isn't blank."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, chrome so far, outermost content element, number
+def named_blocks(page: str) -> list[tuple[Block, Named]]:
+    """(text, tag path, chrome, number of the outermost content element or 0, numbers of the open elements) of every block that isn't blank, and
+    the numbers of those of its elements that are named as chrome."""
+    out: list[tuple[Block, Named]] = []
+    stack: list[tuple[str, int, int, int, Named]] = []  # tag, chrome so far (1: an article's header), outermost content element, number, named
     held: list[str] = []
     path: list = ["", False, 0, ()]
+    names: Named = ()
     number = 0
 
     def flush():
         text = _SPACE.sub(" ", html_lib.unescape("".join(held))).strip() if held else ""
         held.clear()
         if text:
-            out.append((text, *path))
+            out.append(((text, *path), names))
 
     def close(at: int):
-        if any(t in BLOCK or c for t, c, *_ in stack[at:]):
+        if any(t in BLOCK or c or n for t, c, _, _, n in stack[at:]):
             flush()
         del stack[at:]
 
@@ -112,8 +121,9 @@ def blocks(page: str) -> list[Block]:
         pos = m.end()
         if m[4] is not None:
             if not held or held[-1].isspace():  # the block is where its first visible text is
-                top = stack[-1] if stack else ("", False, 0, 0)
-                path[:] = ["/".join([x[0] for x in stack]), top[1], top[2], tuple([x[3] for x in stack])]
+                top = stack[-1] if stack else ("", 0, 0, 0, ())
+                path[:] = ["/".join([x[0] for x in stack]), top[1] > 0, top[2], tuple([x[3] for x in stack])]
+                names = top[4]
             held.append(m[4])
             continue
         if m[2] is None:
@@ -151,16 +161,38 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        above = stack[-1] if stack else ("", False, 0, 0)
-        chrome = above[1] or _is_chrome(tag, m[3])
-        if chrome and not above[1]:
+        above = stack[-1] if stack else ("", 0, 0, 0, ())
+        itself, named = _is_chrome(tag, m[3])
+        header = tag == "header" and above[2] > 0 and not above[1]
+        chrome = 2 if itself and not header else max(above[1], int(itself))
+        if chrome == 1 and tag in HEADINGS:  # a headline
+            chrome = 0
+        if named or chrome and not above[1]:
             flush()
         number += 1
-        stack.append((tag, chrome, above[2] or (number if tag in CONTENT else 0), number))
+        stack.append((tag, chrome, above[2] or (number if tag in CONTENT else 0), number, (*above[4], number) if named else above[4]))
     flush()
     return out
 
 
+def blocks(page: str) -> list[Block]:
+    """The blocks, with those in named elements as chrome unless the element holds most of the heaviest path."""
+    rows = named_blocks(page)
+    if not any(named for _, named in rows):
+        return [r for r, _ in rows]
+    weight, size, held = Counter(), Counter(), {}
+    for (text, path, chrome, inside, _), named in rows:
+        if not chrome:
+            w = len(text) * (INSIDE if inside else 1.0) * (NAMED if named else 1.0)
+            weight[path] += w
+            for k in named:
+                size[path, k] += len(text)
+                held[path, k] = held.get((path, k), 0.0) + w
+    main = max(weight, key=weight.get, default="")
+    free = {k for (p, k), w in held.items() if p == main and size[p, k] >= HELD and 2 * w > weight[p]}
+    return [(text, path, chrome or not free.issuperset(named), inside, opened) for (text, path, chrome, inside, opened), named in rows]
+
+
 def path_scores(rows: list[Block]) -> np.ndarray:
     """Fused and smoothed tag-path ratio of each block."""
     length, points, count = Counter(), Counter(), Counter()
