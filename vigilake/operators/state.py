@@ -6,6 +6,9 @@ keeps what the rules say, in one shuffle on the key.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -40,40 +43,105 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return best.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
+def fold_in_order(rows: DataFrame, keys: list[str], order: list[Column], schema: str, make: Callable) -> DataFrame:
+    """Rows dealt by key, sorted within, and folded one by one; a task holds a batch of rows and one key's state.
+
+    ``make()`` starts a key and returns (step, last): step(row without the keys) gives a row without
+    the keys or None, last() one after the key's rows or None.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step, last = None, None, None
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                key = row[: len(keys)]
+                if key != now:
+                    if now is not None and (got := last()) is not None:
+                        out.append(now + got)
+                    now, (step, last) = key, make()
+                if (got := step(*row[len(keys) :])) is not None:
+                    out.append(now + got)
+            yield batch(out)
+        if now is not None and (got := last()) is not None:
+            yield batch([now + got])
+
+    rest = [c for c in rows.columns if c not in keys]
+    return dealt.select(*keys, *rest).mapInArrow(run, schema)
+
+
+def _types(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
+def _nothing() -> None:
+    return None
+
+
 def every_interval(events: DataFrame, keys: list[str], seconds: int, ts: str = "ts") -> DataFrame:
     """ST02: greedy fold; events that are scanned because the last scanned one is ``seconds`` old or more.
 
-    One key's time stamps (8 bytes each) are folded in order. Equal stamps are one scan.
+    A key's events pass in order of time; its state is the last scan. Equal stamps are one scan.
+    Events without a time are left out.
     """
-    times = F.array_sort(F.collect_set(micros(ts)))
-    kept = F.aggregate(
-        times,
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(F.size(acc) == 0, F.array(t))
-        .when(t - F.try_element_at(acc, F.lit(-1)) >= seconds * 1_000_000, F.array_append(acc, t))
-        .otherwise(acc),
-    )
-    return events.groupBy(*keys).agg(kept.alias("at")).select(*keys, F.explode("at").alias("scanned_us"))
+
+    def make():
+        scanned = None
+
+        def step(t):
+            nonlocal scanned
+            if scanned is not None and (t == scanned or t - scanned < seconds * 1_000_000):
+                return None
+            scanned = t
+            return (t,)
+
+        return step, _nothing
+
+    rows = events.select(*keys, micros(ts).alias("scanned_us")).filter("scanned_us IS NOT NULL")
+    return fold_in_order(rows, keys, [F.col("scanned_us")], f"{_types(rows, keys)}, scanned_us long", make)
+
+
+def limiter(limit: int, seconds: int, hits: list[int]) -> Callable[[int], bool]:
+    """Whether the attempt at a time is allowed; ``hits``, the allowed ones still young enough, are at most ``limit``."""
+    limit, window = max(1, limit), seconds * 1_000_000
+
+    def allowed(t: int) -> bool:
+        hits[:] = [h for h in hits if t - h < window]
+        if len(hits) >= limit:
+            return False
+        hits.append(t)
+        return True
+
+    return allowed
 
 
 def rate_limit(events: DataFrame, key: str, limit: int, seconds: int, ts: str = "ts") -> DataFrame:
     """ST05: allowed attempts only count; a hit counts while it is younger than the window.
 
-    Returns (key, ts_us, n, allowed): n-th attempt of a key, in order of time.
+    Returns (key, ts_us, n, allowed): n-th attempt of a key, in order of time. Events without a time are left out.
     """
-    limit, window = max(1, limit), seconds * 1_000_000
-    times = F.array_sort(F.collect_list(micros(ts)))
-    start = F.struct(F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(acc, t):
-        live = F.filter(acc["hits"], lambda h: t - h < window)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.array_append(live, t)).otherwise(live).alias("hits"), F.array_append(acc["out"], ok).alias("out"))
+    def make():
+        allowed, n = limiter(limit, seconds, []), 0
 
-    folded = events.groupBy(key).agg(times.alias("t")).withColumn("out", F.aggregate("t", start, step)["out"])
-    return folded.select(key, F.posexplode(F.arrays_zip("t", "out"))).select(
-        key, F.col("col.t").alias("ts_us"), (F.col("pos") + 1).cast("long").alias("n"), F.col("col.out").alias("allowed")
-    )
+        def step(t):
+            nonlocal n
+            n += 1
+            return t, n, allowed(t)
+
+        return step, _nothing
+
+    rows = events.select(key, micros(ts).alias("ts_us")).filter("ts_us IS NOT NULL")
+    return fold_in_order(rows, [key], [F.col("ts_us")], f"{_types(rows, [key])}, ts_us long, n long, allowed boolean", make)
 
 
 def fold_bans(bans: DataFrame, pardons: DataFrame) -> DataFrame:

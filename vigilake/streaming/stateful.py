@@ -1,54 +1,78 @@
-"""Streaming forms of keyed state; each gives the rows of its batch form."""
+"""Streaming forms of keyed state; each gives the rows of its batch form.
+
+A batch of the stream is folded in order of key and time, sorted by Spark, so no task holds a key's
+rows. The state is one row of each key: the fold starts from the last batch's and writes the next
+beside the results, in a folder of the batch's number, which a repeated batch overwrites.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigilake.operators.state import micros
+from vigilake.operators.state import fold_in_order, limiter, micros
+
+
+@dataclass
+class Fold:
+    """A stream of (keys, event_id, ts_us) and its fold: result column and type, state type, and what starts a key."""
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    events: DataFrame
+    keys: list[str]
+    result: str
+    result_type: str
+    state_type: str
+    make: Callable
 
+    @property
+    def schema(self) -> str:
+        """Of results, and of the states that stand beside them (is_state)."""
+        keys = ", ".join(f"{k} long" for k in self.keys)
+        return f"{keys}, event_id long, {self.result} {self.result_type}, is_state boolean, state {self.state_type}"
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(batches, ignore_index=True).sort_values(["ts_us", "event_id"])
+    def batch(self, rows: DataFrame, before: DataFrame | None) -> DataFrame:
+        fresh = rows.select(*self.keys, F.lit(False).alias("is_state"), "ts_us", "event_id", F.lit(None).cast(self.state_type).alias("state"))
+        if before is not None:
+            none = F.lit(None).cast("long")
+            fresh = fresh.unionAll(before.filter("is_state").select(*self.keys, "is_state", none.alias("ts_us"), none.alias("event_id"), "state"))
+        order = [F.col("is_state").desc(), F.col("ts_us").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+        return fold_in_order(fresh, self.keys, order, self.schema, self.make)
 
 
-def message_counts(events: DataFrame) -> DataFrame:
+def message_counts(events: DataFrame) -> Fold:
     """ST01: running number of each (chat, user)'s messages."""
 
-    def run(key, batches, state: GroupState):
-        n = state.get[0] if state.exists else 0
-        rows = _ordered(batches)
-        state.update((n + len(rows),))
-        yield pd.DataFrame({"chat_id": key[0], "user_id": key[1], "event_id": rows.event_id, "msg_no": range(n + 1, n + len(rows) + 1)})
+    def make():
+        n = 0
+
+        def step(is_state, ts_us, event_id, state):
+            nonlocal n
+            n = state if is_state else n + 1
+            return None if is_state else (event_id, n, False, None)
+
+        return step, lambda: (None, None, True, n)
 
-    return events.groupBy("chat_id", "user_id").applyInPandasWithState(
-        run, "chat_id long, user_id long, event_id long, msg_no long", "n long", "append", GroupStateTimeout.NoTimeout
-    )
+    return Fold(events, ["chat_id", "user_id"], "msg_no", "long", "long", make)
 
 
-def rate_limit(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """ST05: allowed attempts younger than the window are the state, at most ``limit`` of them."""
-    limit, window = max(1, limit), seconds * 1_000_000
+def rate_limit(events: DataFrame, limit: int, seconds: int) -> Fold:
+    """ST05: allowed attempts younger than the window are the state, at most ``limit`` of them. Events without a time are left out."""
 
-    def run(key, batches, state: GroupState):
-        hits = list(state.get[0]) if state.exists else []
-        rows, allowed = _ordered(batches), []
-        for t in rows.ts_us:
-            hits = [h for h in hits if t - h < window]
-            allowed.append(len(hits) < limit)
-            if allowed[-1]:
-                hits.append(int(t))
-        state.update((hits,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows.event_id, "allowed": allowed})
+    def make():
+        hits: list[int] = []
+        allowed = limiter(limit, seconds, hits)
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, allowed boolean", "hits array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+        def step(is_state, ts_us, event_id, state):
+            if is_state:
+                hits.extend(state)
+                return None
+            return event_id, allowed(ts_us), False, None
+
+        return step, lambda: (None, None, True, list(hits))
+
+    return Fold(events.filter("ts_us IS NOT NULL"), ["user_id"], "allowed", "boolean", "array<bigint>", make)
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +88,14 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """All rows that are there, through the stream, into a Parquet sink; the sink's rows."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+def run_to_table(fold: Fold, out: str, checkpoint: str) -> DataFrame:
+    """All rows that are there, through the stream, into Parquet; the results of all batches."""
+    spark = fold.events.sparkSession
+
+    def work(rows: DataFrame, number: int) -> None:
+        before = rows.sparkSession.read.schema(fold.schema).parquet(f"{out}/batch={number - 1}") if number else None
+        fold.batch(rows, before).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = fold.events.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(fold.schema).parquet(f"{out}/batch=*").filter("NOT is_state").select(*fold.keys, "event_id", fold.result)
