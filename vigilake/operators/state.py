@@ -200,3 +200,156 @@ def toggle(items: Column, item: Column) -> Column:
 def delivery_failure(error: Column) -> Column:
     """What a failed delivery says of its target."""
     return F.when(error.isin(*PERMANENT), "is_blocked").when(error.isin("bot_kicked", "chat_not_found"), "inactive").when(error.isNotNull(), "failed")
+
+
+def overlay(old: DataFrame, changes: DataFrame, keys: list[str], column: str, seq: str = "seq") -> DataFrame:
+    """DML12: an update of one column: the last change of a key, for rows that are there."""
+    last = changes.groupBy(*keys).agg(F.max_by(column, seq).alias("_new"), F.lit(True).alias("_is"))
+    joined = old.join(last, keys, "left")
+    return joined.withColumn(column, F.when(F.col("_is"), F.col("_new")).otherwise(F.col(column))).select(*old.columns)
+
+
+def fold_appeals(events: DataFrame) -> DataFrame:
+    """DML08, DML09, CT06: appeals of each (chat, user) from (chat_id, user_id, seq, event), in order.
+
+    ``open`` opens one unless one is open; ``approve`` and ``reject`` resolve the open one, if any. One row for each
+    appeal: its number, when it was opened and resolved (by seq), status, and requests that met it open.
+    """
+
+    def make():
+        number, opened, requests = 0, None, 0
+
+        def step(seq, event):
+            nonlocal number, opened, requests
+            if event == "open":
+                if opened is None:
+                    number, opened, requests = number + 1, seq, 0
+                requests += 1
+            elif event in ("approve", "reject") and opened is not None:
+                out = number, opened, seq, "approved" if event == "approve" else "rejected", requests
+                opened = None
+                return out
+            return None
+
+        return step, lambda: None if opened is None else (number, opened, None, "open", requests)
+
+    keys = ["chat_id", "user_id"]
+    rows = events.select(*keys, F.col("seq").cast("long").alias("seq"), "event")
+    return fold_in_order(rows, keys, [F.col("seq")], f"{_types(rows, keys)}, number long, opened long, resolved long, status string, requests long", make)
+
+
+def fold_users(events: DataFrame) -> DataFrame:
+    """DML02, DML03, DML12, DML18: users from (user_id, seq, event, username, lang), in order.
+
+    ``touch`` and ``start`` add a user or renew the name; ``start`` also makes the user reachable and sets an unlocked
+    language; ``lang`` adds a user or sets and locks the language; ``blocked`` marks one that is there.
+    """
+
+    def make():
+        user = None
+
+        def step(seq, event, username, lang):
+            nonlocal user
+            if event == "blocked":
+                if user:
+                    user["blocked"] = True
+                return
+            if user is None:
+                user = {"username": username, "lang": lang, "locked": False, "started": False, "blocked": False, "first": seq, "last": seq}
+            if event == "lang":
+                user["lang"], user["locked"] = lang, True
+                return
+            user["username"], user["last"] = username, seq
+            if event == "start":
+                user["started"], user["blocked"] = True, False
+                if not user["locked"]:
+                    user["lang"] = lang
+
+        return step, lambda: None if user is None else tuple(user.values())
+
+    rows = events.select("user_id", F.col("seq").cast("long").alias("seq"), "event", "username", "lang")
+    schema = "user_id long, username string, lang string, lang_locked boolean, started_bot boolean, is_blocked boolean, first_seq long, last_seq long"
+    return fold_in_order(rows, ["user_id"], [F.col("seq")], schema, make)
+
+
+def toggled(presses: DataFrame, keys: list[str]) -> DataFrame:
+    """DML07: the first press sets it, each later one turns it."""
+    return presses.groupBy(*keys).agg((F.count(F.lit(1)) % 2 == 1).alias("dm_notify"))
+
+
+def every_clean_interval(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """ST02 with P16: scans from (keys, ts_us, clean, voids): a clean scan suppresses the next ones for ``seconds``; a row with ``voids`` drops that."""
+
+    def make():
+        until = None
+
+        def step(t, clean, voids):
+            nonlocal until
+            if voids:
+                until = None
+                return None
+            if until is not None and t < until:
+                return None
+            if clean:
+                until = t + seconds * 1_000_000
+            return t, clean
+
+        return step, _nothing
+
+    rows = events.select(*keys, "ts_us", "clean", "voids").filter("ts_us IS NOT NULL")
+    return fold_in_order(rows, keys, [F.col("ts_us"), F.col("voids").desc(), F.col("clean")], f"{_types(rows, keys)}, ts_us long, clean boolean", make)
+
+
+def cached_answers(requests: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """ST03, ST04, ST06: requests (keys, ts_us, bar, fast, verified) against a cache with a life time: struct of source and score.
+
+    An entry answers while younger than ``seconds``, if it is verified or its score is under the request's bar; else the
+    request is scored, and stored unless its score is null.
+    """
+
+    def make():
+        kept = None
+
+        def step(t, bar, fast, verified):
+            nonlocal kept
+            if kept and t - kept[0] < seconds * 1_000_000 and (kept[2] or kept[1] < bar):
+                return t, "cache", kept[1]
+            if fast is not None:
+                kept = (t, fast, verified)
+            return t, "scored", fast
+
+        return step, _nothing
+
+    rows = requests.select(*keys, "ts_us", "bar", "fast", "verified").filter("ts_us IS NOT NULL")
+    order = [F.col(c) for c in ("ts_us", "bar", "fast", "verified")]
+    return fold_in_order(rows, keys, order, f"{_types(rows, keys)}, ts_us long, source string, score double", make)
+
+
+def take_once(commands: DataFrame, seconds: int = 600) -> DataFrame:
+    """ST08, DML17: (admin_id, ts_us, command, body): ``compose`` keeps a draft, ``confirm`` within ``seconds`` takes it, ``cancel`` drops it."""
+
+    def make():
+        draft = None
+
+        def step(t, command, body):
+            nonlocal draft
+            if command == "compose":
+                draft = (t, body)
+                return None
+            taken, draft = draft, None
+            if command == "confirm" and taken and t - taken[0] < seconds * 1_000_000:
+                return t, taken[1]
+            return None
+
+        return step, _nothing
+
+    rows = commands.select("admin_id", "ts_us", "command", "body")
+    return fold_in_order(rows, ["admin_id"], [F.col("ts_us"), F.col("command"), F.col("body")], f"{_types(rows, ['admin_id'])}, ts_us long, body string", make)
+
+
+def with_cache(events: DataFrame, cache: DataFrame, fingerprint: Column, pipeline: str) -> DataFrame:
+    """J05, ST07: each event with the cached evidence of its user, if of the same photos and pipeline; no row is null evidence."""
+    mine = cache.filter(F.col("pipeline") == pipeline).select("user_id", F.col("fingerprint").alias("_seen"), "fast", "labels")
+    rows = events.withColumn("_now", fingerprint)
+    joined = rows.join(mine, (rows.user_id == mine.user_id) & (F.col("_now") == F.col("_seen")), "left").drop(mine.user_id)
+    return joined.drop("_now", "_seen")

@@ -4,32 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from vigilake.functions import reports, scores, text
 from vigilake.operators import media, policy, settings, signals, state, stats
+from vigilake.plans.registry import ORACLES, QUERIES, query
 from vigilake.sources import bindings as b
 from vigilake.streaming import stateful
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: str = ""):
-    """Register a function under its own name, with its SQL over the named views."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = b.sql(views, sql)
-        return f
-
-    return put
-
-
 def _literal(v) -> str:
     if v is None:
         return "NULL"
@@ -554,21 +537,10 @@ def cache_put(spark, sf):
     return state.prune_cache(state.fold_cache(make(old), make(new)), b.AS_OF, 3, "v3").drop("scanned_at").select("user_id", "fingerprint", "pipeline", "fast", "labels")
 
 
-@query(
-    """SELECT chat_id, user_id, count(*) AS requests, 1 AS opened, bool_or(event_type = 'signup') AS resolved FROM detections WHERE event_type IN ('error', 'signup') GROUP BY chat_id, user_id HAVING bool_or(event_type = 'error')""",
-    "detections",
-)
-def appeals(spark, sf):
-    """DML08, DML09: one open appeal for each (chat, user); later requests change nothing; a signup resolves it."""
-    rows = b.detections(spark, sf).filter("event_type IN ('error', 'signup')")
-    out = rows.groupBy("chat_id", "user_id").agg(F.count(F.lit(1)).alias("requests"), F.lit(1).alias("opened"), F.bool_or(F.col("event_type") == "signup").alias("resolved"), F.bool_or(F.col("event_type") == "error").alias("any"))
-    return out.filter("any").drop("any")
-
-
 @query("SELECT chat_id, user_id, count(*) % 2 = 1 AS dm_notify FROM detections WHERE event_type = 'click' GROUP BY ALL", "detections")
 def toggle_dm_notify(spark, sf):
     """DML07: the first press sets it, each later one turns it."""
-    return b.detections(spark, sf).filter("event_type = 'click'").groupBy("chat_id", "user_id").agg((F.count(F.lit(1)) % 2 == 1).alias("dm_notify"))
+    return state.toggled(b.detections(spark, sf).filter("event_type = 'click'"), ["chat_id", "user_id"])
 
 
 @query("SELECT d.id, d.chat_id FROM detections d WHERE NOT EXISTS (SELECT 1 FROM prefs p WHERE p.chat_id = d.chat_id AND p.admin_id = d.user_id)", "detections prefs")
@@ -587,13 +559,13 @@ def admin_snapshot(spark, sf):
 
 # ---- events and enforcement -------------------------------------------------------------------
 
-_MESSAGES = [(1, "p", None, None, None, None, "photo"), (2, None, "a", None, None, None, "animation"), (3, None, None, "s", None, None, "sticker"), (4, None, None, None, "v", None, "video"), (5, None, None, None, None, "image/gif", "animation"), (6, None, None, None, None, "image/png", "photo"), (7, None, None, None, None, "video/mp4", "video"), (8, None, None, None, None, "text/plain", None)]
+_MESSAGES = [(1, "p", None, None, None, None, "photo"), (2, None, "a", None, None, None, "animation"), (3, None, None, "s", None, None, "sticker"), (4, None, None, None, "v", None, "video"), (5, None, None, None, None, "image/gif", "animation"), (6, None, None, None, None, "image/png", "photo"), (7, None, None, None, None, "video/mp4", "animation"), (9, None, None, None, None, "image/gifx", "photo"), (10, None, None, "s", "v", None, "video"), (8, None, None, None, None, "text/plain", None)]
 
 
 @query(f"SELECT id, kind, coalesce(list_contains(['photo', 'video'], kind), false) AS wanted FROM {rows_sql('id, kind', [(r[0], r[-1]) for r in _MESSAGES])}")
 def media_classify(spark, sf):
     rows = spark.createDataFrame([r[:-1] for r in _MESSAGES], "id int, photo string, animation string, sticker string, video string, mime string")
-    kind = media.kind_of(*[F.col(c) for c in ("photo", "animation", "sticker", "video", "mime")])
+    kind = media.kind_of(*[F.col(c) for c in ("photo", "animation", "video", "sticker", "mime")])
     return rows.select("id", kind.alias("kind"), media.enabled(F.lit(True), F.array(F.lit("photo"), F.lit("video")), kind).alias("wanted"))
 
 
@@ -696,3 +668,5 @@ def stream_rate_limit(spark, sf):
     stream = stateful.rate_limit(stateful.event_stream(spark, f"{sf}/events.parquet"), 2, 43200)
     rows = stateful.run_to_table(stream, _scratch(spark, "limits"), _scratch(spark, "limits-state"))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.expr("count_if(allowed)").alias("allowed"))
+
+from vigilake.plans import moderation  # noqa: E402, F401  (registers its queries)
