@@ -23,27 +23,34 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_runs_are_whole_and_few():
+def test_runs_are_whole_and_few(spark):
     random.seed(7)
-    for _ in range(60):
-        capacity = random.choice([8, 64, 1024])
-        lengths = [random.randint(1, capacity) for _ in range(random.randint(0, 400))] + [random.randint(1, capacity)] * random.choice([0, 300])
+    for capacity, most, same in ((8, 40, 0), (64, 400, 300), (1024, 400, 0), (1024, 30, 300)):
+        lengths = [random.randint(1, capacity) for _ in range(random.randint(1, most))] + [random.randint(1, capacity)] * same
         counts = {}
         for n in lengths:
             counts[n] = counts.get(n, 0) + 1
-        runs, sequences = packing.place_runs(counts, capacity)
+        runs = packing.place_runs(spark.createDataFrame(list(counts.items()), "size long, n long"), capacity)
         fill, ranks = {}, {}
-        for length, rank, n, first, offset in runs:
-            ranks.setdefault(length, []).extend(range(rank, rank + n))
+        for length, rank, n, deep, first, offset in runs.tolist():
+            ranks.setdefault(length, []).extend(range(rank, rank + n * deep))
             for s in range(first, first + n):
-                fill.setdefault(s, []).append((offset, length))
+                fill.setdefault(s, []).extend((offset + k * length, length) for k in range(deep))
         assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
-        assert len(fill) == sequences
         for rows in fill.values():
             rows.sort()
             assert [o for o, _ in rows] == [sum(x for _, x in rows[:k]) for k in range(len(rows))]
             assert sum(x for _, x in rows) <= capacity
-        assert sequences <= best_fit_decreasing(lengths, capacity) + 1
+        assert len(fill) <= best_fit_decreasing(lengths, capacity) + 1
+    assert not len(packing.place_runs(spark.createDataFrame([], "size long, n long")))
+
+
+def test_sweep_takes_the_smallest_gap_that_holds():
+    rows = [(packing.GAP, 9, 0, 1), (packing.GAP, 5, 7, 2), (packing.OPEN, 5, 0, 1), (packing.OPEN, 4, 0, 2), (packing.OPEN, 10, 3, 1)]
+    out = packing.sweep(rows, 20)
+    placed = sorted(r[1:] for r in out if r[0] == packing.PLACED)
+    assert placed == [(4, 0, 1, 1, 8, 15), (4, 1, 1, 1, 0, 11), (5, 0, 1, 1, 7, 15)]
+    assert sorted(r[:4] for r in out if r[0] != packing.PLACED) == [(packing.GAP, 1, 8, 1), (packing.GAP, 5, 0, 1), (packing.OPEN, 10, 3, 1)]
 
 
 def check(rows, texts, capacity=1024):

@@ -30,14 +30,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The place is added to ``paths``, for ``discard`` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more, wherever they are stored."""
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    paths.clear()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does the same on pure ASCII and is far faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
