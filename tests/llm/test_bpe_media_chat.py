@@ -101,6 +101,42 @@ def test_unknown_sizes_and_damage():
     assert media.packets(b"")[0] == []
 
 
+def test_every_truncation_and_flipped_bytes():
+    whole = media.write_mkv(bytes(range(256)) * 60)
+    rows = media.packets(whole)[0]
+    for n in range(0, len(whole), 7):
+        cut, _, _ = media.packets(whole[:n])
+        assert all(b <= n for *_, b in cut) and [r[3] for r in cut][:-8] == [r[3] for r in rows[: len(cut)]][:-8]
+    rng = np.random.default_rng(5)
+    for at in [*range(400), *rng.integers(0, len(whole), 400).tolist()]:
+        damaged = bytearray(whole)
+        damaged[at] ^= 1 << int(rng.integers(8))
+        media.packets(bytes(damaged))
+        media.packets(rng.bytes(60))
+
+
+def test_live_clusters_and_other_rates():
+    rate = np.array(16_000, ">f8").tobytes()
+    audio = media.element(media.AUDIO, media.element(media.SAMPLING_FREQUENCY, rate) + media.element(media.CHANNELS, 2) + media.element(media.BIT_DEPTH, 16))
+    tracks = media.element(media.TRACKS, media.element(media.TRACK_ENTRY, media.element(media.TRACK_NUMBER, 3) + media.element(media.CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    live = b"\x1f\x43\xb6\x75\xff"
+    laced = media.vint(3) + b"\0\0" + bytes([0x84, 1]) + b"x" * 128
+    clusters = [live + media.element(media.TIMESTAMP, 10 * k) + media.element(media.SIMPLE_BLOCK, laced) for k in range(5000)]
+    data = b"\x18\x53\x80\x67\x01" + b"\xff" * 7 + tracks + b"".join(clusters)
+    rows = media.packets(data)[0]
+    assert len(rows) == 10_000 and [r[1] for r in rows[:4]] == [0, 1, 10, 11] and rows[-1][1] == 49_991 and rows[0][0] == 3
+    cues = media.write_mkv(b"y" * 300_000)
+    assert len(media.seek(cues, 0)) == 375 and len(media.seek(cues, 20_000)) == 375 - 128 and media.seek(cues, 20_000)[0][1] == 12_800
+
+
+def test_media_empty_table_and_null_file(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    made = media.media_column(empty)
+    assert made.count() == media.packet_table(made).count() == media.read_back(made).count() == 0
+    nothing = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert media.packet_table(nothing).count() == 0 and media.read_back(nothing).first().payload_bytes == 0
+
+
 def test_media_query(spark, data):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in media.query(spark, data).collect():

@@ -69,3 +69,12 @@ def test_query(spark, data):
     out = exact_dedup.query(spark, data)
     assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in out.collect()) == expect(rows)
+
+
+def test_columns_named_as_locators(spark):
+    for names in ("locator_file string, locator_row long", "locator_file string"):
+        rows = [(k, t, *["same" if "string" in n else 1 for n in names.split(", ")]) for k, t in enumerate(["Aa b", "aa b", None, "", "x"])]
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        kept = exact_dedup.drop_copies(df)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id, r[2]) for r in kept.collect()) == [(1, "same"), (3, "same"), (4, "same")]

@@ -90,3 +90,15 @@ def test_edge_rows(spark):
     assert [r.text for r in kept if r.doc_id is None] == ["lone one here"]
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(df).count() == 0
+
+
+def test_columns_named_as_locators(spark):
+    for names in ("locator_file string, locator_row long", "locator_file string", "locator_row string, locator_row_ string"):
+        width = names.count(",") + 1
+        rows = [(k, t, *["same" if "long" not in n else 1 for n in names.split(", ")]) for k, t in enumerate(TEXTS)]
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        kept = simhash.drop_near_copies(df)
+        assert kept.columns == df.columns and len(df.columns) == 2 + width
+        got = kept.collect()
+        assert sorted(r.doc_id for r in got) == sorted(set(slow_components([slow_print(t) for t in TEXTS])))
+        assert all(r[2] in ("same", 1) for r in got)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Names of the locator columns, not likely to clash with any column of a table.
+#: Names of the locator columns; columns of a table that have such a name are set aside.
 LOCATOR = ("locator_file", "locator_row")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder of the session.
 
-    A local temporary folder is used only where ``spark.checkpoint.dir`` is unset (tests).
+    A local temporary folder is used only where ``spark.checkpoint.dir`` is unset and the master is local (tests).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilake-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vigilake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -65,11 +69,11 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its locator, file and row number: where the row's content is. Other inputs than files are written first."""
-    if {*LOCATOR} <= {*docs.columns}:
-        return docs
-    names = [c for c in docs.columns if c not in LOCATOR]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    """``docs`` with its locator, file and row number: where the row's content is. Other inputs than files are written first.
+
+    Columns of ``docs`` that have a locator's name are dropped; ``set_aside`` keeps them.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in LOCATOR])
     try:
         return kept.select("*", F.col("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1]))
     except AnalysisException:
@@ -78,6 +82,18 @@ def located(docs: DataFrame) -> DataFrame:
         )
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with other names for columns named as a locator, and a function that selects its columns under their own names."""
+    names = []
+    for c in docs.columns:
+        name = c
+        while name in LOCATOR or (name != c and name in (*docs.columns, *names)):
+            name += "_"
+        names.append(name)
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    return renamed, lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most ``rows`` rows from here on in this session: texts can be long,
     and a worker and its executor hold whole batches."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vigilake.llm.common import LOCATOR, located, lower_ascii, materialize, scratch_path, table
+from vigilake.llm.common import LOCATOR, located, lower_ascii, materialize, scratch_path, set_aside, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of a digest that address the bitmap of digests with several rows: 2**24 bits are 2 MB.
@@ -94,10 +94,10 @@ def possible_hits(rows: DataFrame, hits: DataFrame, bits: int = FILTER_BITS) ->
     )
 
 
-def assign(docs: DataFrame, text: str = "text", digest=sha256, checkpoint: str | None = None) -> DataFrame:
-    """doc_id, locator, keep_id, group_size, kept, digest of every row of ``docs``."""
+def assign(docs: DataFrame, text: str = "text", digest=sha256, checkpoint: str | None = None, is_located: bool = False) -> DataFrame:
+    """doc_id, locator, keep_id, group_size, kept, digest of every row of ``docs``; ``is_located``: it comes from ``located``."""
     spark = docs.sparkSession
-    source = located(docs).select("doc_id", F.col(f"`{text}`").alias("text"), *LOCATOR)
+    source = (docs if is_located else located(docs)).select("doc_id", F.col(f"`{text}`").alias("text"), *LOCATOR)
     path = scratch_path(spark, "dedup-index")
     source.select("doc_id", *LOCATOR, digest(normalised()).alias("digest")).write.parquet(path)
     index = spark.read.parquet(path)
@@ -138,9 +138,10 @@ def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
 
     All rows of a file are numbered within it, so both sides of the join see the same locators.
     """
-    source = located(docs)
-    stay = assign(source, text).filter("kept").select(*LOCATOR)
-    return source.join(stay, list(LOCATOR), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    renamed, as_given = set_aside(docs)
+    source = located(renamed)
+    stay = assign(source, text, is_located=True).filter("kept").select(*LOCATOR)
+    return as_given(source.join(stay, list(LOCATOR), "left_semi"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Media columns: Matroska files with one 8-bit PCM track, written and parsed element by element.
 
 The parser reads variable-length EBML elements, clusters, lacing and cues into a packet
-table: track, timestamp, key flag and byte range of every frame.
+table: track, timestamp, key flag and byte range of every frame. It takes any bytes: an element
+that can't be read ends its parent, a block that can't be read has no frames, and clusters of
+unknown size (live recordings) end where the next element of the segment begins.
 
 Nulls: a null text counts as empty (64 zero bytes of payload); a null id is carried. Equal
 texts give equal files. Repeated rows are processed one by one; extra columns are ignored.
+Texts of any length are stored whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING = 0xAE,
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+DEFAULT_DURATION = 0x23E383
+#: Children of a segment, which end a cluster of unknown size: besides those above, seek head, chapters, attachments and tags.
+OF_SEGMENT = frozenset({INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367})
 #: Elements that hold elements.
 PARENTS = frozenset({SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, TRACKS, TRACK_ENTRY, AUDIO, EBML, INFO})
 
@@ -32,6 +38,7 @@ RATE = 8000  # samples (bytes) per second
 FRAME = 800  # bytes of a frame: 100 ms
 FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8, 16
 PAD = 64
+LATEST = 1 << 61  # of timestamps in ms, whatever a damaged file says
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -128,48 +135,111 @@ def write_mkv(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join(body))
 
 
-def walk(data: bytes, at: int, end: int, depth: int = 0):
+def _head(data: bytes, at: int, end: int) -> tuple[int, int, int, bool] | None:
+    """Id, body start, size and whether it is unknown, of the element at ``at``; None if there is none."""
+    width = 9 - data[at].bit_length()
+    if width > 4 or at + width >= end or at + width + 9 - data[at + width].bit_length() > end or not data[at + width]:
+        return None
+    size, start, unknown = read_vint(data, at + width)
+    return int.from_bytes(data[at : at + width], "big"), start, size, unknown
+
+
+def walk(data: bytes):
     """(id, body start, body end, depth) of every element, parents before children."""
-    while at < end:
-        width = 9 - data[at].bit_length()
-        if width > 4 or at + width > end:
-            return  # not an element: the rest is damaged
-        tag = int.from_bytes(data[at : at + width], "big")
-        size, start, unknown = read_vint(data, at + width)
-        stop = end if unknown else min(end, start + size)
-        yield tag, start, stop, depth
-        if tag in PARENTS:
-            yield from walk(data, start, stop, depth + 1)
+    open_ = [(len(data), 0, False)]  # end, id, of unknown size
+    at = 0
+    while at < len(data):
+        while at >= open_[-1][0]:
+            open_.pop()
+        head = _head(data, at, open_[-1][0])
+        if head is None:  # not an element: the rest of its parent is damaged
+            at = open_[-1][0]
+            continue
+        tag, start, size, unknown = head
+        if tag in OF_SEGMENT or tag in (SEGMENT, EBML):
+            while open_[-1][2] and (open_[-1][1] != SEGMENT or tag in (SEGMENT, EBML)):
+                open_.pop()
+        stop = open_[-1][0] if unknown else min(open_[-1][0], start + size)
+        yield tag, start, stop, len(open_) - 1
         at = stop
+        if tag in PARENTS and start < stop:
+            open_.append((stop, tag, unknown))
+            at = start
+
+
+def _frames(data: bytes, start: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]] | None:
+    """Track, relative time, flags and frames of a block; None if it is damaged."""
+    try:
+        track, at, _ = read_vint(data, start)
+        if at + 3 > end:
+            return None
+        ranges = _unlace(data[at + 2], data, at + 3, end)
+    except (IndexError, ValueError):
+        return None
+    if any(not at <= a <= b <= end for a, b in ranges):
+        return None
+    return track, int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2], ranges
+
+
+def _float(data: bytes) -> float:
+    value = float(np.frombuffer(data, f">f{len(data)}")[0]) if len(data) in (4, 8) else 0.0
+    return value if np.isfinite(value) and value > 0 else 0.0
 
 
 def packets(data: bytes) -> tuple[list[tuple[int, int, bool, int, int]], list[tuple[int, int]], str]:
-    """The packet table (track, timestamp in ms, key, start, end), the cues (time, cluster offset) and the codec."""
+    """The packet table (track, timestamp in ms, key, start, end), the cues (time, cluster offset) and the codec.
+
+    Frames of one lace follow each other by the bytes of PCM tracks, at their own frequency, depth and channels, else by the
+    track's default duration.
+    """
     table_, cues, codec = [], [], ""
     cluster_at, time, scale, base = 0, 0, 1_000_000, 0
-    for tag, start, end, _ in walk(data, 0, len(data)):
+    tracks: dict[int, dict] = {}
+    mine: dict = {}
+    number = lambda a, b: int.from_bytes(data[a : min(b, a + 8)], "big")
+    for tag, start, end, _ in walk(data):
         if tag == SEGMENT:
             base = start
         elif tag == TIMESTAMP_SCALE:
-            scale = int.from_bytes(data[start:end], "big")
+            scale = number(start, end)
+        elif tag == TRACK_ENTRY:
+            mine = {"codec": "", "rate": 8000.0, "channels": 1, "bits": 0, "lasts": 0}
+        elif tag == TRACK_NUMBER:
+            tracks[number(start, end)] = mine
         elif tag == CODEC_ID:
-            codec = data[start:end].decode("ascii", "replace")
+            codec = mine["codec"] = data[start:end].decode("ascii", "replace")
+        elif tag == SAMPLING_FREQUENCY:
+            mine["rate"] = _float(data[start:end])
+        elif tag == CHANNELS:
+            mine["channels"] = number(start, end)
+        elif tag == BIT_DEPTH:
+            mine["bits"] = number(start, end)
+        elif tag == DEFAULT_DURATION:
+            mine["lasts"] = number(start, end)
         elif tag == TIMESTAMP:
-            cluster_at = int.from_bytes(data[start:end], "big")
-        elif tag in (SIMPLE_BLOCK, BLOCK):
-            track, at, _ = read_vint(data, start)
-            rel, flags = int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
-            first = (cluster_at + rel) * scale // 1_000_000
-            ranges = _unlace(flags, data, at + 3, end)
-            begin = ranges[0][0]
-            table_ += [(track, first + (a - begin) * 1000 // RATE, bool(flags & 0x80), a, b) for a, b in ranges]
+            cluster_at = number(start, end)
+        elif tag in (SIMPLE_BLOCK, BLOCK) and (block := _frames(data, start, end)):
+            track, rel, flags, ranges = block
+            t = tracks.get(track, {})
+            each_second = t.get("rate", 0) * t.get("channels", 0) * t.get("bits", 0) / 8 if t.get("codec", "").startswith("A_PCM") else 0
+            begin, first = ranges[0][0], max(-LATEST, min(LATEST, (cluster_at + rel) * scale // 1_000_000))
+            for k, (a, b) in enumerate(ranges):
+                later = (a - begin) * 1000 / each_second if each_second else k * t.get("lasts", 0) // 1_000_000
+                table_.append((track, first + int(min(later, LATEST)), bool(flags & 0x80), a, b))
         elif tag == CUE_TIME:
-            time = int.from_bytes(data[start:end], "big")
+            time = number(start, end)
         elif tag == CUE_CLUSTER_POSITION:
-            cues.append((time, base + int.from_bytes(data[start:end], "big")))
+            cues.append((time, base + number(start, end)))
     return table_, cues, codec
 
 
+def seek(data: bytes, ms: int) -> list[tuple[int, int, bool, int, int]]:
+    """Packets from the cluster of the last cue at or before ``ms`` on; all of them without such a cue."""
+    rows, cues, _ = packets(data)
+    at = max((at for time, at in cues if time <= ms), default=0)
+    return [r for r in rows if r[3] >= at]
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
     n = max(PAD, -(-len(raw) // PAD) * PAD)
@@ -201,7 +271,7 @@ def packet_table(df: DataFrame, media: str = "media") -> DataFrame:
 
         return work
 
-    schema = "doc_id long, packet int, track int, ts_ms long, key boolean, byte_start long, byte_end long"
+    schema = "doc_id long, packet int, track long, ts_ms long, key boolean, byte_start long, byte_end long"
     return map_rows(df.selectExpr("doc_id", f"`{media}` AS media"), schema, make)
 
 
@@ -211,9 +281,10 @@ def read_back(df: DataFrame) -> DataFrame:
         def work(batch):
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for data in batch["media"]:
+                data = bytes(data or b"")
                 rows, cues, codec = packets(data)
                 payload = b"".join([data[a:b] for _, _, _, a, b in rows])
-                wave = np.frombuffer(payload, np.uint8).astype(np.int32)
+                wave = np.frombuffer(payload or b"\0", np.uint8).astype(np.int32)
                 mean, moved = float(wave.mean()), int(np.abs(np.diff(wave)).sum())
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())

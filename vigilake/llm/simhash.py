@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.llm.bpe import in_small_lots
-from vigilake.llm.common import LOCATOR, located, materialize, small_batches, table
+from vigilake.llm.common import LOCATOR, discard, located, materialize, set_aside, small_batches, table
 
 SHINGLE, DIFFERING, SEED = 3, 3, 42
 LEAF, FAN = 16, 8  # fingerprints of a leaf, children of an upper node
@@ -222,7 +222,8 @@ def links(prints: DataFrame, most: int = DIFFERING) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """(a, root): the smallest number of each component, by alternating large and small stars."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = materialize(edges.distinct(), "links")
+    paths: list[str] = []
+    edges = materialize(edges.distinct(), "links", paths)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -230,16 +231,17 @@ def stars(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialize(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "links")
+        edges = materialize(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "links", paths)
+        discard(edges.sparkSession, paths[:-1])
         now = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(38)))")).first()
         if now == before:
             return edges.withColumnRenamed("b", "root")
         before = now
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, most: int = DIFFERING) -> DataFrame:
-    """doc_id, locator, fp and component_id (smallest doc_id of the component) of every row."""
-    rows = materialize(fingerprints(located(docs), size), "fingerprints")
+def classes(docs: DataFrame, size: int = SHINGLE, most: int = DIFFERING, is_located: bool = False) -> DataFrame:
+    """doc_id, locator, fp and component_id (smallest doc_id of the component) of every row; ``is_located``: ``docs`` comes from ``located``."""
+    rows = materialize(fingerprints(docs if is_located else located(docs), size), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = stars(links(prints, most))
     named = materialize(
@@ -253,14 +255,15 @@ def classes(docs: DataFrame, size: int = SHINGLE, most: int = DIFFERING) -> Data
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, most: int = DIFFERING) -> DataFrame:
     """``docs`` with one row, of the smallest doc_id, of each component."""
-    source = located(docs)
-    rows = materialize(classes(source, size, most), "classes")
+    renamed, as_given = set_aside(docs)
+    source = located(renamed)
+    rows = materialize(classes(source, size, most, is_located=True), "classes")
     keys = rows.withColumn("known", F.col("component_id").isNotNull())
     stay = keys.groupBy("component_id", F.when(~F.col("known"), F.col("fp")).alias("alone")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *LOCATOR)).alias("stay")
     )
     stay = stay.select(*[F.col(f"stay.{c}").alias(c) for c in LOCATOR])
-    return source.join(stay, list(LOCATOR), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_given(source.join(stay, list(LOCATOR), "left_semi"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
