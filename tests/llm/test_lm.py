@@ -106,3 +106,89 @@ def test_edge_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAVY", 1)  # nearly all words by the join
     check(spark, rows)
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def scalar_bits(word, k, code, mixer):
+    """Cost of one word in bits, bit by bit with Python numbers."""
+    two = 1 << 64
+    m, r = [int(x) for x in mixing._M], int(mixing._R)
+    raw = [b + 1 for b in word + b" "]
+    cost = 0.0
+    for at, byte in enumerate(raw):
+        b1, b2, b3, b4, b5 = (raw[at - j] if at >= j else 0 for j in range(1, 6))
+        whole = sum(raw[i] * pow(r, i, two) for i in range(at)) % two
+        c = k + 1
+        contexts = [
+            ((b1 * m[0] + b2) * m[1] + c) * m[2],
+            (((b1 * m[0] + b2) * m[1] + b3) * m[2] + c) * m[3],
+            (((((b1 * m[0] + b2) * m[1] + b3) * m[2] + b4) * m[3] + b5) * m[0] + c) * m[1],
+            whole * m[2] + min(at, 15),
+            (whole * m[0] + c) * m[3],
+        ]
+        bits = f"{int(code[1][byte - 1]):0{int(code[0][byte - 1])}b}"
+        node = 1
+        for bit in map(int, bits):
+            slots = [((x % two ^ node * m[3] % two) * m[0] % two) >> (64 - s) for x, s in zip(contexts, mixer.sizes)]
+            packed = [int(t[s]) for t, s in zip(mixer.tables, slots)]
+            x = [float(mixing._STRETCH[p + 2 * 65536]) for p in packed]
+            level = [int(mixing._LEVEL[p + 2 * 65536]) for p in packed[2:]]
+            gate = (level[1] * mixing.LEVELS + level[2]) * 3 + min(level[0], 2)
+            mixed = max(-mixing.LIMIT, min(mixing.LIMIT, sum(float(np.float32(w)) * v for w, v in zip(mixer.weights[gate], x))))
+            seen = mixer.map_counts[(node * m[0] % two) >> 54, min(int((mixed / mixing.LIMIT + 1) / 2 * mixing.BINS), mixing.BINS - 1)]
+            p = 0.5 / (1 + math.exp(-mixed)) + 0.5 * seen[1] / seen.sum()
+            cost -= math.log2(min(1 - 1e-7, max(1e-7, p if bit else 1 - p)))
+            node = 2 * node + bit
+    return cost
+
+
+def test_score_by_brute_force(spark, monkeypatch):
+    """Exact counts by context, bit by bit; the learned weights are taken from the job."""
+    kept = []
+    learn = lm.learn_mixer
+    monkeypatch.setattr(lm, "learn_mixer", lambda *a: kept.append(learn(*a)) or kept[-1])
+    models = []
+    survey = lm.survey
+    monkeypatch.setattr(lm, "survey", lambda docs: models.append(survey(docs)) or models[-1])
+    rows = [(d, t) for d, t in enumerate(["The cat and the dog", "el gato y la casa la", "", None, "the the THE\tcat", "und der Hund, die Katze", "zebra é"] * 2)]
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mixer, (model, code) = kept[0], models[0]
+    counts = Counter()
+    places = {}
+    for d, t in rows:
+        w, words = lm.Words([t]), (t or "").encode().lower().split()
+        assert [x.as_py() for x in w.words] == words
+        shorts, at = [], []
+        for word in [*words, b""]:
+            at.append(int(np.argmax(model[0] + sum([model[1 + b] for b in shorts], np.zeros(model.shape[1])))))
+            if word and len(word) <= lm.SHORT:
+                shorts.append(int(w.bucket[len(shorts)]))
+        places[d] = list(zip([*words, b""], at))
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            counts.update(places[d])
+    tables = [np.zeros(2 << s, np.float32) for s in mixer.sizes]
+    for (word, k), n in sorted(counts.items()):
+        mixing.count_bits(mixing.Bits([word], np.array([k]), code, mixer.sizes), np.array([float(n)]), tables)
+    assert all((mixing.pack_counts(t) == m).all() for t, m in zip(tables, mixer.tables))
+    for d, p in places.items():
+        want = -math.log10(2) * sum(scalar_bits(word, k, code, mixer) for word, k in p)
+        assert math.isclose(out[d].score, want, rel_tol=1e-4), d
+
+
+def test_scores_do_not_depend_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for partitions, files in ((4, 1), (7, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got.append({r.doc_id: r.score for r in lm.score(docs.repartition(files)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(math.isclose(got[0][d], got[1][d], rel_tol=1e-9) for d in got[0]) and len(got[0]) == len(got[1])
+
+
+def test_lots_of_long_words_are_small(spark):
+    import pyarrow as pa
+
+    words = [b"%07d" % k + b"x" * 100_000 for k in range(50)]
+    batch = pa.record_batch([pa.array(words, pa.binary()), *[pa.array(np.ones(50, np.int64))] * lm.CLASSES], names=["word", *[f"c{k}" for k in range(lm.CLASSES)]])
+    lots = [w for _, b in lm._blocks([batch]) for _, w, _, _ in lm._by_class(b, "c")]
+    assert max(sum(map(len, w)) for w in lots) <= lm.LOT_BYTES + 100_008 and sum(map(len, lots)) == 50 * lm.CLASSES

@@ -20,6 +20,8 @@ import numpy as np
 END = 32  # the end mark: never inside a word
 #: log2 of the slots of each context's table; the last two see the whole word so far.
 SLOTS = (20, 21, 22, 22, 22)
+#: Rows of the table of words up to which these do; with each doubling all grow by one, at most GROWTH times (252 MB, broadcast).
+ROWS, GROWTH = 1 << 22, 3
 INPUTS = len(SLOTS)
 LEVELS = 6  # levels of knowledge of one context
 GATES = LEVELS * LEVELS * 3
@@ -31,6 +33,12 @@ _R = np.uint64(0x2545F4914F6CDD1D)
 _R_BACK = np.uint64(pow(0x2545F4914F6CDD1D, -1, 2**64))
 
 
+def sizes_for(rows: int) -> tuple[int, ...]:
+    """log2 of the slots of each context's table for so many distinct words."""
+    more = min(GROWTH, max(0, (max(rows, 1) - 1) // ROWS).bit_length())
+    return tuple(s + more for s in SLOTS)
+
+
 def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Length and bits of each byte's code (Huffman, every byte taken as seen once more)."""
     heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
@@ -51,7 +59,8 @@ def prefix_code(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Bits:
     """The bits of a batch of words, depth by depth of the code, with their hashed contexts."""
 
-    def __init__(self, words: list[bytes], classes: np.ndarray, code: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, words: list[bytes], classes: np.ndarray, code: tuple[np.ndarray, np.ndarray], sizes: tuple[int, ...] = SLOTS):
+        self.sizes = sizes
         self.raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         size = np.array([len(w) + 1 for w in words])
         self.start = np.cumsum(size) - size
@@ -87,7 +96,7 @@ class Bits:
             bit = ((self.bits[at] >> rest) & np.uint64(1)).astype(np.int64)
             with np.errstate(over="ignore"):
                 mixed = node * _M[3]
-                slots = [(((x[at] ^ mixed) * _M[0]) >> np.uint64(64 - s)).astype(np.int64) for x, s in zip(self.contexts, SLOTS, strict=True)]
+                slots = [(((x[at] ^ mixed) * _M[0]) >> np.uint64(64 - s)).astype(np.int64) for x, s in zip(self.contexts, self.sizes, strict=True)]
             yield at, node, bit, slots
 
 
@@ -136,6 +145,10 @@ class Mixer:
         first = np.stack([1 - centres, centres], axis=1) * 4
         return Mixer(code, tables, np.tile(START, (GATES, 1)), np.tile(first, (1024, 1, 1)), np.tile(RIDGE * np.eye(INPUTS), (GATES, 1, 1)))
 
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        return tuple(len(t).bit_length() - 1 for t in self.tables)
+
     def copy(self) -> Mixer:
         """The same tables, own weights and map."""
         return Mixer(self.code, self.tables, self.weights.copy(), self.map_counts.copy(), self.curve.copy())
