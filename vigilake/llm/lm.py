@@ -34,7 +34,7 @@ from vigilake.llm.common import crc_mod, discard, materialize, small_batches, ta
 FOLDS, HELD_OUT = 5, 1
 CLASSES, SHORT, BUCKETS = 6, 3, 256  # classes of text; bytes of a short word; hashed short words
 HEAVY = 20
-FLUSH = 400_000  # distinct words that a task counts before it hands them on
+FLUSH = 300_000  # distinct words that a task counts before it hands them on
 CHUNK = 8192  # slots of a table that travel together
 SHARD, LEARN_SHARD = 2_000_000, 500_000  # distinct words that one task counts bits of, and learns weights from
 LOT, STEP = 8_192, 2_048  # words that are looked up at once, and of an online step
@@ -131,7 +131,7 @@ def _arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _lots(batches, lot: int = 4_000_000):
+def _lots(batches, lot: int = 2_000_000):
     """Batches of about ``lot`` bytes of text, cut and joined from those given."""
     held, size = [], 0
     for b in batches:
@@ -210,7 +210,7 @@ def count_words(docs: DataFrame, model: np.ndarray) -> DataFrame:
 
 def sharded(words: DataFrame, shards: int) -> DataFrame:
     """Words dealt to a number of shards by hash and sorted in each, however many partitions there are."""
-    return words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "word")
+    return words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "word")
 
 
 def _blocks(batches, rows: int = 65_536):
