@@ -109,3 +109,9 @@ def test_derivatives_link_to_their_response(spark):
         assert head.startswith("WARC/1.1\r\nWARC-Type: response\r\n") and f"WARC-Record-ID: {name}" in head
         assert rest.encode()[length:] == b"\r\n\r\n"
     assert warc.derive(source.limit(0)).count() == 0
+
+
+def test_text_of_unclosed_and_very_long_pages():
+    assert warc.plain_text("a<script>if (x < 1) { y }") == "a" and warc.plain_text("a<!-- b") == "a" and warc.plain_text("a<style>p {}</style>b") == "ab"
+    long = "<p>word &amp; word</p>" * 200_000
+    assert warc.plain_text(long) == "\n".join(["word & word"] * 200_000)

@@ -9,8 +9,9 @@ Other record types are passed over. Identifiers follow from content, so reruns a
 
 Nulls: a null page is empty, a null url leaves the target out (null) and counts as empty in the
 identifier; null ids are carried. A response without an empty line after its headers has an
-empty payload. Repeated rows give repeated records. Extra columns are ignored. Empty tables
-give no records.
+empty payload. A comment, script or style that is never closed takes the rest of the page. Pages of
+any length are taken whole. Repeated rows give repeated records, identifiers included. Extra columns
+are ignored. Empty tables give no records.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ HEADERS = {
     "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type",
     "content_length": "Content-Length",
 }
-_DROP = re.compile(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>")
+_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)")
 _BREAK = re.compile(
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
@@ -132,7 +133,7 @@ WITH page AS (
 ), plain AS (
   SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
            || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS http,
-    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', '', 'g'),
       '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'),
       '<[^>]*>', '', 'g') AS marked
   FROM page
