@@ -475,5 +475,59 @@ def profile_states(spark, sf):
     return s.select("s_suppkey", text_pass.substantive(F.col("bio"), none, F.col("channel")).alias("substantive"), text_pass.profile_state(F.col("s_name"), none, F.col("bio"), F.col("channel"), F.lit("news"), none, none).alias("state"))
 
 
+# ---- the whole judgement, with what every signal must say worked out by hand --------------------
+
+_BIOS = ["Photographer in town", "join t.me/abc", "see www.example.com", "nude pics", "", None]
+_DISPLAY = ["Maryam", "join now 👉", "watch me", "porn hub"]
+_FIRES = {  # sorted: the order of reasons
+    "bio_keywords": "id % 6 = 3 OR id % 4 = 3", "bio_link": "id % 6 IN (1, 2)", "bio_semantic": "id % 9 <> 0 AND id % 10 >= 7", "message_media": "id % 3 = 0 AND id % 11 * 10 >= threshold",
+    "name_pattern": "id % 4 IN (1, 2)", "no_photo_link": "id % 5 = 0 AND id % 6 IN (1, 2)", "profile_channel": "id % 3 = 0", "profile_nsfw": "id % 7 <> 0 AND id % 11 * 10 >= threshold",
+    "profile_ocr": "id % 8 = 0", "reputation": "chat_id % 2 = 0 AND id % 6 >= 3",
+}
+_ANY = lambda *ids: "(" + " OR ".join(f"list_contains(t, '{i}')" for i in ids) + ")"
+_LIST = lambda *cases: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in cases) + "], lambda x: x IS NOT NULL)"
+_IMAGE, _CONTACT, _VOCABULARY = _ANY("profile_nsfw", "message_media"), _ANY("bio_link", "profile_ocr", "profile_channel"), _ANY("bio_keywords", "name_pattern", "bio_semantic")
+
+
+@query(
+    f"""SELECT id, array_to_string(t, ',') AS triggered, m OR x OR p AS matched, CASE WHEN m THEN CASE WHEN dry_run THEN 'report' ELSE 'delete' END WHEN x THEN CASE WHEN dry_run THEN 'report' WHEN id % 10 = 0 THEN 'delete' ELSE 'warn' END WHEN p AND NOT dry_run THEN action ELSE 'report' END AS action,
+    CASE WHEN m THEN id % 11 / 10 WHEN x THEN CASE WHEN id % 14 = 0 THEN 0.9 ELSE 0.8 END WHEN p THEN greatest(CASE WHEN id % 7 <> 0 THEN id % 11 ELSE 0 END, CASE WHEN id % 3 = 0 THEN id % 11 ELSE 0 END) / 10 ELSE 0 END::DOUBLE AS score,
+    CASE WHEN m THEN 'message_media' WHEN x THEN array_to_string({_LIST(('text_topic', 'id % 10 = 0'), ('text_ad', 'id % 14 = 0'))}, ',') WHEN p THEN array_to_string(list_filter(t, lambda r: r = 'reputation' OR list_contains(CASE policy
+      WHEN 'nsfw_only' THEN ['profile_nsfw', 'message_media'] WHEN 'nsfw_and_contact' THEN ['profile_nsfw', 'message_media', 'bio_link', 'profile_ocr', 'profile_channel']
+      WHEN 'nsfw_or_keywords' THEN ['profile_nsfw', 'message_media', 'bio_keywords', 'name_pattern', 'bio_semantic'] WHEN 'custom' THEN ['bio_link', 'name_pattern']
+      ELSE ['profile_nsfw', 'message_media', 'bio_link', 'profile_ocr', 'profile_channel', 'bio_keywords', 'name_pattern', 'bio_semantic'] END, r)), ',') ELSE '' END AS reasons,
+    CASE WHEN id % 6 = 1 THEN 't.me/abc' WHEN id % 6 = 2 THEN 'www.example.com' END AS bio_detail, id % 6 <> 5 AS bio_available
+    FROM (SELECT *, id % 3 = 0 AND id % 11 >= 9 AS m, id % 10 = 0 OR id % 14 = 0 AS x, list_contains(t, 'reputation') OR CASE policy WHEN 'nsfw_only' THEN {_IMAGE} WHEN 'nsfw_and_contact' THEN {_IMAGE} AND {_CONTACT} WHEN 'nsfw_or_keywords' THEN {_IMAGE} OR {_VOCABULARY}
+      WHEN 'strict' THEN {_IMAGE}::INT + {_CONTACT}::INT + {_VOCABULARY}::INT >= 2 ELSE list_contains(t, 'bio_link') AND list_contains(t, 'name_pattern') END AS p
+      FROM (SELECT *, {_LIST(*_FIRES.items())} AS t FROM (SELECT c_custkey AS id, c_custkey % 30 AS chat_id, coalesce(threshold, 40) AS threshold, coalesce(policy, 'nsfw_and_contact') AS policy, coalesce(action, 'ban') AS action, coalesce(dry_run, false) AS dry_run
+        FROM customer LEFT JOIN groups ON groups.chat_id = c_custkey % 30)))""",
+    "groups",
+)
+def profile_verdicts(spark, sf):
+    """SG01-SG12, J03, AG12, PL01-PL13: every signal from its column, settings or their defaults, media before text before profile."""
+    from vigilake.operators import policy, signals
+
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.expr(f"int(id % {n}) + 1"))
+    e, c = F.expr, F.col
+    rows = b.read(spark, sf, "customer").selectExpr("c_custkey AS id", "c_custkey % 30 AS chat_id")
+    rows = settings.attach(rows, b.groups(spark, sf).select("chat_id", "threshold", "policy", "action", "dry_run"), {"threshold": 40, "policy": "nsfw_and_contact", "action": "ban", "dry_run": False})
+    rows = rows.withColumns({
+        "bio": pick(_BIOS, 6), "display_name": pick(_DISPLAY, 4), "username": F.lit(None).cast("string"), "channel_state": pick(["linked", "absent", "unknown"], 3), "channel_title": F.lit("news"), "channel_username": F.lit(None).cast("string"),
+        "photos": pick(["absent", "unknown", "visible", "visible", "visible"], 5), "profile_nsfw": e("IF(id % 7 <> 0, id % 11 / 10.0D, NULL)"), "message_nsfw": e("IF(id % 3 = 0, id % 11 / 10.0D, NULL)"),
+        "avatar_text": e("CASE id % 8 WHEN 0 THEN '@spam_me' WHEN 1 THEN 'hello' END"), "profile_ad": e("IF(id % 9 <> 0, id % 10 / 10.0D, NULL)"), "other_group_bans": e("id % 6"),
+        "global_blocklist": e("chat_id % 2 = 0"), "reputation_min_bans": F.lit(3),
+    })
+    s = signals.with_signals(rows).withColumn("triggered", signals.triggered_ids())
+    media_ = policy.media_verdict(c("message_nsfw"), F.lit(0.9), F.lit("delete"), c("dry_run"))
+    words = policy.text_verdict(e("IF(id % 10 = 0, 'scam', NULL)"), F.lit(0.8), e("IF(id % 14 = 0, 0.9D, NULL)"), F.lit("delete"), F.lit("warn"), c("dry_run"))
+    score = policy.headline_score(c("profile_nsfw"), c("message_nsfw"))
+    own = policy.verdict(c("triggered"), score, c("policy"), c("action"), F.array(F.lit("bio_link"), F.lit("name_pattern")), c("dry_run"))
+    s = s.withColumn("v", policy.first_match(media_, words, own))
+    return s.select(
+        "id", F.array_join("triggered", ",").alias("triggered"), "v.matched", "v.action", F.round("v.score", 6).alias("score"), F.array_join("v.reasons", ",").alias("reasons"),
+        c("signals.bio_link.detail").alias("bio_detail"), c("signals.bio_link.available").alias("bio_available"),
+    )
+
+
 for _name in ("settings_changes", "user_folds", "appeals", "media_cache_fold", "clean_fold_voided"):  # their SQL goes on with more views
     ORACLES[_name] = ORACLES[_name].replace("\n,", ",").replace("WITH ", "WITH RECURSIVE ", 1)
