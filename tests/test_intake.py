@@ -80,3 +80,28 @@ def test_text_pass(spark):
 def test_unknown_is_no_pass(spark):
     none = F.lit(None).cast("boolean")
     assert list(one(spark, intake.wants_anything(none, F.lit(True)), intake.wants_anything(none), intake.in_scope(F.lit(None).cast("string")), intake.has_profile(F.lit(1), none))) == [True, False, False, True]
+
+
+def test_callbacks_round_trip(spark):
+    from vigilake.functions import callbacks
+
+    values = {"": None, "number": "-7", "numbers": "1:-2", "text": "x", "policy": "strict", "action": "ban", "lang": "fa", "topic": "scam", "kind": "video"}
+    rows = [(name, values[kind]) for name, (_, kind) in callbacks.CODES.items()]
+    df = spark.createDataFrame(rows, "change string, value string")
+    said = df.withColumn("data", callbacks.encode(F.col("change"), F.col("value")))
+    for r in said.withColumn("d", callbacks.decode(F.col("data"))).collect():
+        assert tuple(r.d) == (r.change, r.value) and len(r.data.encode()) <= 64
+    assert list(one(spark, *[callbacks.unban_target(F.lit(u).cast("long"), F.lit(a)) for u, a in ((5, "6"), (None, " #17 "), (None, "x"), (None, None))])) == [5, 17, None, None]
+
+
+def test_images_of_a_folder_and_model_metadata(spark, tmp_path):
+    from vigilake.sources import lookups
+
+    for name in ("b.png", "a.JPG", "c.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert {r.id: bytes(r.content) for r in lookups.image_folder(spark, f"file://{tmp_path}").collect()} == {"b.png": b"b.png", "a.JPG": b"a.JPG"}
+    (tmp_path / "model.json").write_text('{\n"labels": ["porn", "neutral"], "nsfw_labels": ["porn"], "size": 224, "mean": [0.5], "std": [0.5]}')
+    r = lookups.model_metadata(spark, f"file://{tmp_path}/model.json").first()
+    assert media.check_labels(r.labels, r.nsfw_labels) == ["porn"] and r.size == 224
+    context = lookups.media_only(spark.range(1).withColumnRenamed("id", "user_id")).first()
+    assert (context.channel_state, context.photos, context.bio, context.profile_nsfw) == ("unknown", "unknown", None, None)

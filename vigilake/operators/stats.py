@@ -61,8 +61,8 @@ def recipients(users: DataFrame, groups: DataFrame, rate: int = 25) -> DataFrame
     both = users.filter("started_bot AND NOT is_blocked").select(F.lit(0).alias("part"), F.col("user_id").alias("target")).unionByName(
         groups.filter("is_active").select(F.lit(1).alias("part"), F.col("chat_id").alias("target"))
     )
-    # ranks inside buckets of ids, shifted by the rows of the buckets before: no task gets all rows
-    both = both.withColumn("bucket", F.floor(F.col("target") / 256))
+    # ranks inside buckets of 65,536 ids, shifted by the rows of the buckets before: no task gets all rows, and there are few buckets
+    both = both.withColumn("bucket", F.floor(F.col("target") / 65536))
     sizes = both.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     users_n = sizes.agg(F.coalesce(F.expr("sum(n) FILTER (WHERE part = 0)"), F.lit(0)).alias("users_n"))

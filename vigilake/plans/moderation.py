@@ -531,3 +531,46 @@ def profile_verdicts(spark, sf):
 
 for _name in ("settings_changes", "user_folds", "appeals", "media_cache_fold", "clean_fold_voided"):  # their SQL goes on with more views
     ORACLES[_name] = ORACLES[_name].replace("\n,", ",").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---- callbacks and lookups --------------------------------------------------------------------
+
+_SAID = ["p:thd:-10", "p:pos: Strict ", "p:pos:nope", "p:cut:bio_link", "p:not", "p:not:1", "p:mkt:gif", "d:fp:17", "a:ok:5:6", "a:ok:5", "b:go", "x", "", "p:grs:ten", "u:las:fa", "p:thd:1:2", "p:cat:"]
+_HEARD = [("adjust_threshold", "-10"), ("set_policy", "strict"), None, ("toggle_custom", "bio_link"), ("toggle_notify", None), None, ("toggle_media_kind", "animation"), ("false_positive", "17"), ("appeal_approve", "5:6"), None, ("broadcast_confirm", None), None, None, None, ("set_user_lang", "fa"), None, ("toggle_category", "")]
+_HEARD_SQL = "CASE CAST(id % 17 AS INT) " + " ".join(f"WHEN {k} THEN '{h[0]}={h[1] or ''}'" for k, h in enumerate(_HEARD) if h) + " END"
+
+
+@query(f"SELECT id, {_HEARD_SQL} AS heard FROM detections", "detections")
+def callback_decode(spark, sf):
+    """every event says one of the strings."""
+    from vigilake.functions import callbacks
+
+    said = F.element_at(F.array(*map(F.lit, _SAID)), F.expr("int(id % 17) + 1"))
+    rows = b.detections(spark, sf).select("id", callbacks.decode(said).alias("d"))
+    return rows.select("id", F.when(F.col("d").isNotNull(), F.concat("d.change", F.lit("="), F.coalesce("d.value", F.lit("")))).alias("heard"))
+
+
+@query(
+    """SELECT id, CASE WHEN c.c_custkey IS NULL THEN 'unknown' WHEN c.c_custkey % 3 = 0 THEN 'linked' ELSE 'absent' END AS channel_state, CASE WHEN c.c_custkey % 2 = 0 THEN c.c_name END AS bio, CASE WHEN c.c_custkey % 3 = 0 THEN 'ch' || c.c_custkey END AS channel_title
+    FROM detections LEFT JOIN customer c ON c.c_custkey = user_id AND c.c_custkey % 5 <> 0""",
+    "detections",
+)
+def profile_lookup(spark, sf):
+    """SRC06, SRC14: every fifth account can't be looked up."""
+    from vigilake.sources import lookups
+
+    p = b.read(spark, sf, "customer").filter("c_custkey % 5 <> 0").selectExpr("c_custkey AS user_id", "IF(c_custkey % 2 = 0, c_name, NULL) AS bio", "'ch' || c_custkey AS channel_title", "CAST(NULL AS STRING) AS channel_username", "c_custkey % 3 = 0 AS has_channel")
+    return lookups.with_profile(b.detections(spark, sf).select("id", "user_id"), p).select("id", "channel_state", "bio", "channel_title")
+
+
+@query(
+    """SELECT id, CASE CAST(id % 4 AS INT) WHEN 0 THEN 'hello' WHEN 1 THEN 'salam' WHEN 2 THEN 'bye' ELSE '⟦none⟧' END AS text FROM detections""",
+    "detections",
+)
+def translations(spark, sf):
+    """SRC10, F18: own language, English instead, key instead."""
+    from vigilake.sources import lookups
+
+    texts = lookups.catalog(spark, {"en": 'hi = "hello"\nbye = "bye"', "fa": 'hi = "salam"'})
+    lang, key = F.expr("IF(id % 2 = 0, IF(id % 4 = 0, 'en', 'fa'), 'fa')"), F.expr("element_at(array('hi', 'hi', 'bye', 'none'), int(id % 4) + 1)")
+    return lookups.translated(b.detections(spark, sf).select("id"), texts, lang, key).select("id", "text")
