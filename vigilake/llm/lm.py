@@ -64,7 +64,8 @@ class Words:
     def __init__(self, texts: pa.Array | list[str | None]):
         if isinstance(texts, list):
             texts = pa.array(texts, pa.large_string())
-        lower = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
+        # one of its own buffers: the cast of a slice keeps offsets that don't start at 0, which ascii_lower takes wrongly
+        lower = pc.ascii_lower(pa.concat_arrays([texts]).fill_null("").cast(pa.large_string()))
         self.bytes = pc.binary_length(lower).to_numpy()
         self.raw = _data(lower)[1]
         split = pc.ascii_split_whitespace(lower)
