@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilake.llm import bpe, chat, exact_dedup, lm, media, packing, quality, simhash, tag_paths, warc
+from vigilake.llm import bpe, chat, exact_dedup, fim, importance, line_dedup, lm, media, packing, quality, simhash, tag_paths, warc
 
 
 def queries() -> dict:
@@ -20,8 +20,11 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.query,
         "op9_media_matroska": media.query,
         "op10_warc_derivatives": warc.query,
+        "op11_fill_in_middle": fim.query,
+        "op12_line_dedup": line_dedup.query,
+        "op13_importance_resampling": importance.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op10_warc_derivatives": warc.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op10_warc_derivatives": warc.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
