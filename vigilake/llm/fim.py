@@ -7,8 +7,8 @@ Elias-Fano code: low bits packed, high bits in unary, selected by counting bits.
 1. A row becomes SHA-256 digest and locator. Digests of several rows are the groups of identical texts.
 2. Rows whose digest is in no group (a bitmap of the groups' digests, broadcast, of at most 32 MB, says so)
    are distinct texts whose list serves themselves: listed and cut where they are read, without a shuffle.
-3. For the others, the first row of a group puts its text and its boundary list into the index, once for
-   all its copies. Documents are joined to it by digest, and a copy is taken for one only if its whole
+3. For the others, the first row of a group (found by another such bitmap, of places, before the exact join) puts its
+   text and its boundary list into the index, once for all its copies. Documents are joined to it by digest, and a copy is taken for one only if its whole
    text equals the indexed one. A text that isn't (equal digests) gets a list of its own.
    A hot group meets one row of the index, so the skew join can split it.
 4. Two units are selected by hashes of the seed and doc_id, and the text is put together in the JVM.
@@ -104,20 +104,26 @@ def selected(low: pa.Array, lower: pa.Array, upper: pa.Array, first: pa.Array, s
     return pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["prefix", "middle"])
 
 
-def _bucket(bits: int) -> Column:
-    return F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
+def of_digest() -> Column:
+    """32 bits of a digest."""
+    return F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
 
 
-def with_groups_marked(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
-    """``rows`` with ``grouped``: false only where no group has the row's digest. ``n``: number of groups."""
+def of_place() -> Column:
+    """32 bits of a place."""
+    return F.shiftrightunsigned(F.xxhash64("place"), 32)
+
+
+def marked(rows: DataFrame, groups: DataFrame, n: int, of: Column) -> DataFrame:
+    """``rows`` with ``grouped``: false only where none of the ``n`` groups has the same 32 bits ``of`` its columns."""
     bits = min(BITS[1], max(BITS[0], (16 * n).bit_length()))
-    at = _bucket(bits)
+    at = F.shiftrightunsigned(of, 32 - bits)
     bitmap = groups.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-    place = F.bitmap_bit_position(at)
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("place", place).join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, int(place div 8) + 1, 1)")), 16, 10).cast("int")
-    there = byte.bitwiseAND(F.expr("shiftleft(1, int(place % 8))")) != 0
-    return joined.withColumn("grouped", F.coalesce(there, F.lit(False))).drop("bucket", "place", "bitmap")
+    bit = F.bitmap_bit_position(at)
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", bit).join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.expr("shiftleft(1, int(bit % 8))")) != 0
+    return joined.withColumn("grouped", F.coalesce(there, F.lit(False))).drop("bucket", "bit", "bitmap")
 
 
 def listed(docs: DataFrame, digest=lambda t: F.unhex(F.sha2(t.cast("binary"), 256))) -> DataFrame:
@@ -128,17 +134,18 @@ def listed(docs: DataFrame, digest=lambda t: F.unhex(F.sha2(t.cast("binary"), 25
     rows = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *LOCATOR)
     keys = rows.select(digest(F.col("text")).alias("digest"), F.struct(*LOCATOR).alias("place"))
     groups = keys.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    groups = materialize(groups.select("digest", "first"), "fim-groups")
-    marked = with_groups_marked(rows.withColumn("digest", digest(F.col("text"))), groups, groups.count())
-    alone = marked.filter("NOT grouped").select("doc_id", "text", boundary_list("text").alias("list"))
-
-    copies = materialize(marked.filter("grouped").select("doc_id", "text", "digest", F.struct(*LOCATOR).alias("place")), "fim-copies")
-    firsts = copies.join(groups.withColumnRenamed("first", "place"), ["digest", "place"])
+    groups = materialize(groups.select("digest", F.col("first").alias("place")), "fim-groups")
+    n = groups.count()
+    split = marked(rows.withColumn("digest", digest(F.col("text"))), groups, n, of_digest())
+    alone = split.filter("NOT grouped").select("doc_id", "text", boundary_list("text").alias("list"))
+
+    copies = materialize(split.filter("grouped").select("doc_id", "text", "digest", F.struct(*LOCATOR).alias("place")), "fim-copies")
+    # the same again, so that of a group's texts only its first one moves to its row of the index
+    firsts = marked(copies, groups, n, of_place()).filter("grouped").join(groups, ["digest", "place"])
     index = materialize(firsts.select("digest", F.col("text").alias("indexed"), boundary_list("text").alias("index")), "fim-index")
     joined = copies.join(index, "digest", "left").withColumn("same", F.coalesce(F.col("text") == F.col("indexed"), F.lit(False)))
-    shared = joined.filter("same").select("doc_id", "text", F.col("index").alias("list"))
-    apart = joined.filter("NOT same").select("doc_id", "text", boundary_list("text").alias("list"))
-    return alone.unionAll(shared).unionAll(apart)
+    own = boundary_list(F.when(~F.col("same"), F.col("text")))
+    return alone.unionAll(joined.select("doc_id", "text", F.when(F.col("same"), F.col("index")).otherwise(own).alias("list")))
 
 
 def transform(docs: DataFrame, seed: int = SEED, digest=None) -> DataFrame:
@@ -147,10 +154,10 @@ def transform(docs: DataFrame, seed: int = SEED, digest=None) -> DataFrame:
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
     h = [F.conv(F.substring(name, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]
     n = F.col("list.n")
-    marked = F.lit(False)
+    has_mark = F.lit(False)
     for m in MARKS:
-        marked = marked | F.contains("text", F.lit(m))
-    form = F.when((F.col("text") == "") | marked | (h[2] % 100 >= PLAIN_SHARE), "plain").when(h[3] % 100 < SPM_SHARE, "spm").otherwise("psm")
+        has_mark = has_mark | F.contains("text", F.lit(m))
+    form = F.when((F.col("text") == "") | has_mark | (h[2] % 100 >= PLAIN_SHARE), "plain").when(h[3] % 100 < SPM_SHARE, "spm").otherwise("psm")
     rows = rows.select("doc_id", "text", "list", form.alias("form"), (h[0] % (n + 1)).alias("a"), (h[1] % (n + 1)).alias("b"))
     cut = selected("list.low_bits", "list.lower", "list.upper", F.least("a", "b"), F.greatest("a", "b"))
     rows = rows.select("doc_id", "text", F.col("list.n").alias("n"), "form", cut.alias("cut"))

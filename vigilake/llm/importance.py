@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilake.llm.common import LOCATOR, discard, located, materialize, set_aside, small_batches, table
@@ -99,7 +100,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _lots(batch: pa.RecordBatch):
     """Slices of a batch of about ``LOT`` bytes of text, one text at least."""
     text = batch.column("text")
-    ends = np.cumsum(pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         done = int(ends[at - 1]) if at else 0
