@@ -98,7 +98,7 @@ def test_clean_scans_and_changes(spark, tmp_path):
     want, since = [], {}
     for chat, user, e, t, clean in sorted(rows, key=lambda r: (r[3], r[2])):
         s = since.get((chat, user))
-        if s is not None and (t >= s + 900 * SECOND or any(c == chat and s <= x <= t for c, x in changes)):
+        if s is not None and (t >= s + 900 * SECOND or any(c == chat and s < x <= t for c, x in changes)):
             s = None
         if s is None:
             want.append((e, t, clean))

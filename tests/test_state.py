@@ -1,12 +1,10 @@
-"""Keyed folds: one key of many events, in batch and in several batches of a stream."""
+"""Keyed folds: one key of many events."""
 
-import random
 from collections import deque
 
 from pyspark.sql import functions as F
 
 from vigilake.operators import state
-from vigilake.streaming import stateful
 
 T = "cast(cast(timestamp_micros(t) AS TIMESTAMP) AS TIMESTAMP_NTZ)"
 
@@ -44,27 +42,3 @@ def test_edge_rows(spark):
     assert sorted((r.k, r.ts_us, r.n, r.allowed) for r in state.rate_limit(df, "k", 1, 60).collect()) == [(2, 5, 1, True), (2, 5, 2, False)]
     assert [(r.k, r.scanned_us) for r in state.every_interval(df, ["k"], 0).collect()] == [(2, 5)]
     assert state.rate_limit(df.limit(0), "k", 1, 60).count() == 0
-
-
-def test_streams_carry_state_over_batches(spark, tmp_path):
-    random.seed(5)
-    rows = [(e % 2, 7 if e % 3 else e % 5, e, t * 1_000_000) for e, t in enumerate(sorted(random.randrange(3000) for _ in range(900)))]
-    schema = "chat_id long, user_id long, event_id long, ts_us long"
-    source = f"file://{tmp_path}/in"
-    for at in range(0, 900, 300):
-        part = rows[at : at + 300]
-        random.shuffle(part)
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        for fold, name in ((stateful.message_counts, "n"), (lambda s: stateful.rate_limit(s, 2, 60), "l")):
-            got = stateful.run_to_table(fold(spark.readStream.schema(schema).parquet(source)), f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-state").collect()
-            seen = rows[: at + 300]
-            assert len(got) == len(seen)
-            for key in {r[:2] for r in seen} if name == "n" else {r[1:2] for r in seen}:
-                mine = sorted((r[3], r[2]) for r in seen if (r[:2] if name == "n" else r[1:2]) == key)
-                out = {r.event_id: r for r in got if (tuple(r[:2]) if name == "n" else tuple(r[:1])) == key}
-                if name == "n":
-                    assert [out[e].msg_no for _, e in mine] == list(range(1, len(mine) + 1))
-                else:
-                    assert [out[e].allowed for _, e in mine] == [ok for _, ok in slow_limit([t for t, _ in mine], 2, 60_000_000)]
-    last = spark.read.parquet(f"file://{tmp_path}/l/batch=2").filter("is_state")
-    assert last.count() == len({r[1] for r in rows}) and last.agg(F.max(F.size("state"))).first()[0] <= 2

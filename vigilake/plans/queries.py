@@ -11,7 +11,7 @@ from vigilake.functions import reports, scores, text
 from vigilake.operators import media, policy, settings, signals, state, stats
 from vigilake.plans.registry import ORACLES, QUERIES, query
 from vigilake.sources import bindings as b
-from vigilake.streaming import stateful
+
 
 def _literal(v) -> str:
     if v is None:
@@ -650,7 +650,7 @@ def moderation_pass(spark, sf):
     return s.withColumn("v", v).select(*_flat(F.col("v"), "chat_id", "conv_id", "turn"), F.array_join("triggered", ",").alias("triggered"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -659,18 +659,4 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query(_NUMBERED.replace("SELECT id,", "SELECT id AS event_id,"), "detections")
-def stream_message_counts(spark, sf):
-    """ST01 as a stream: the same rows as message_number."""
-    stream = stateful.message_counts(stateful.event_stream(spark, f"{sf}/events.parquet"))
-    return stateful.run_to_table(stream, _scratch(spark, "counts"), _scratch(spark, "counts-state")).select("event_id", "chat_id", "user_id", "msg_no")
-
-
-@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE allowed) AS allowed FROM (" + ORACLES["rate_limit_fold"] + ") GROUP BY user_id")
-def stream_rate_limit(spark, sf):
-    """ST05 as a stream: as many allowed as in rate_limit_fold."""
-    stream = stateful.rate_limit(stateful.event_stream(spark, f"{sf}/events.parquet"), 2, 43200)
-    rows = stateful.run_to_table(stream, _scratch(spark, "limits"), _scratch(spark, "limits-state"))
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.expr("count_if(allowed)").alias("allowed"))
-
-from vigilake.plans import moderation  # noqa: E402, F401  (registers its queries)
+from vigilake.plans import moderation, streams  # noqa: E402, F401  (they register their queries)

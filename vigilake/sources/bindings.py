@@ -36,8 +36,12 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detection for each event."""
-    e = read(spark, sf_dir, "events")
-    return e.select(
+    return detection_rows(read(spark, sf_dir, "events"))
+
+
+def detection_rows(events: DataFrame) -> DataFrame:
+    """Detections of a table or stream of events."""
+    return events.select(
         F.col("event_id").alias("id"),
         F.expr("CAST(get_json_object(props, '$.k') AS BIGINT) % 25").alias("chat_id"),
         "user_id",

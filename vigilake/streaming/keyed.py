@@ -47,10 +47,11 @@ class KeyedFold:
     step: Callable
     ends: Callable = field(default=lambda state: None)
     at_end: Callable = field(default=lambda state: None)
+    key_types: dict[str, str] = field(default_factory=dict)  # of keys that aren't long
 
     @property
     def schema(self) -> str:
-        return ", ".join([f"{k} long" for k in self.keys] + [f"{c} {t}" for c, t in self.results.items()])
+        return ", ".join([f"{k} {self.key_types.get(k, 'long')}" for k in self.keys] + [f"{c} {t}" for c, t in self.results.items()])
 
     @property
     def row_type(self) -> str:
@@ -157,11 +158,11 @@ def rate_limit(limit: int, seconds: int) -> KeyedFold:
 
 
 def clean_interval(seconds: int, keys: list[str]) -> KeyedFold:
-    """ST02 with P16: a clean scan suppresses the next ones for ``seconds``, unless the chat's settings changed since (``changed_us``)."""
+    """ST02 with P16: a clean scan suppresses the next ones for ``seconds``, unless the chat's settings changed after it (``changed_us``)."""
     life = seconds * 1_000_000
 
     def step(state, event_id, ts_us, clean, changed_us):
-        if state and changed_us is not None and changed_us >= state[0]:
+        if state and changed_us is not None and changed_us > state[0]:
             state = None
         if state:
             return state, None
@@ -171,14 +172,14 @@ def clean_interval(seconds: int, keys: list[str]) -> KeyedFold:
     return KeyedFold(keys, columns, {"event_id": "long", "ts_us": "long", "clean": "boolean"}, "since long", step, ends=lambda s: s[0] + life)
 
 
-def cached_answers(seconds: int, keys: list[str]) -> KeyedFold:
+def cached_answers(seconds: int, keys: list[str], key_types: dict[str, str] | None = None) -> KeyedFold:
     """ST03, ST04, ST06: an entry answers for ``seconds``, if it is verified or its score is under the request's bar; else the request is scored
     and stored, unless its score is null. ``changed_us``, the last change that voids entries, may be null.
     """
     life = seconds * 1_000_000
 
     def step(state, event_id, ts_us, bar, fast, verified, changed_us):
-        if state and changed_us is not None and changed_us >= state[0]:
+        if state and changed_us is not None and changed_us > state[0]:
             state = None
         if state and (state[2] or state[1] < bar):
             return state, (event_id, ts_us, "cache", state[1])
@@ -188,7 +189,7 @@ def cached_answers(seconds: int, keys: list[str]) -> KeyedFold:
 
     columns = {"bar": "double", "fast": "double", "verified": "boolean", "changed_us": "long"}
     results = {"event_id": "long", "ts_us": "long", "source": "string", "score": "double"}
-    return KeyedFold(keys, columns, results, "since long, fast double, verified boolean", step, ends=lambda s: s[0] + life)
+    return KeyedFold(keys, columns, results, "since long, fast double, verified boolean", step, ends=lambda s: s[0] + life, key_types=key_types or {})
 
 
 def delayed_delete(low: int = 5, high: int = 86_400) -> KeyedFold:
@@ -204,6 +205,11 @@ def delayed_delete(low: int = 5, high: int = 86_400) -> KeyedFold:
 # ---- running them ------------------------------------------------------------------------------
 
 
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """SRC01: a folder or file of Parquet as a stream. A stream takes folders or patterns but no single file, so the path is written as a pattern."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def folded(rows: DataFrame, fold: KeyedFold, wait: str = "0 seconds") -> DataFrame:
     """Results of a stream of (keys, event_id, ts_us, columns); rows without a time or key are left out."""
     given = rows.select(*fold.keys, "event_id", "ts_us", *fold.columns).dropna(subset=[*fold.keys, "event_id", "ts_us"])
@@ -223,13 +229,15 @@ class Replay:
 
     def __init__(self, stream: DataFrame, fold: KeyedFold, place: str, wait: str = "0 seconds", arranged: Callable[[DataFrame], DataFrame] = lambda rows: rows):
         self.spark, self.fold, self.place = stream.sparkSession, fold, place
-        names = [*fold.keys, "event_id", "ts_us"]
-        rows = stream.select("*")
-        end = self.spark.createDataFrame([], ", ".join(f"{c} long" for c in names))
+        self.wait = wait
+        end = self._last().limit(0)
         end.write.mode("ignore").parquet(f"{place}/end")
         closing = self.spark.readStream.schema(end.schema).parquet(f"{place}/end")
-        self.rows = arranged(rows.unionByName(closing, allowMissingColumns=True))
-        self.wait = wait
+        self.rows = arranged(stream.unionByName(closing, allowMissingColumns=True))
+
+    def _last(self) -> DataFrame:
+        row = {k: F.lit(END).cast(self.fold.key_types.get(k, "long")) for k in [*self.fold.keys, "event_id"]} | {"ts_us": F.lit(END_US)}
+        return self.spark.range(1).select(*[c.alias(k) for k, c in row.items()])
 
     def run(self) -> None:
         """All that is there and new, to the results' folder."""
@@ -246,9 +254,7 @@ class Replay:
 
     def close(self) -> None:
         """Let everything that waits pass."""
-        names = [*self.fold.keys, "event_id", "ts_us"]
-        last = self.spark.createDataFrame([tuple([END] * (len(names) - 1) + [END_US])], ", ".join(f"{c} long" for c in names))
-        last.write.mode("append").parquet(f"{self.place}/end")
+        self._last().write.mode("append").parquet(f"{self.place}/end")
         self.run()
 
     def results(self) -> DataFrame:
