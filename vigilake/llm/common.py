@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Names of the locator columns; columns of a table that have such a name are set aside.
 LOCATOR = ("locator_file", "locator_row")
+#: Bits that address the bitmap of ``marked``: 16 times the keys' number, within these bounds (8 KB and 32 MB).
+BITMAP_BITS = (16, 28)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -94,6 +96,23 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFra
     return renamed, lambda df: df.select(*[F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
+def of_place() -> Column:
+    """32 bits of a column ``place``."""
+    return F.shiftrightunsigned(F.xxhash64("place"), 32)
+
+
+def marked(rows: DataFrame, keys: DataFrame, n: int, of: Column) -> DataFrame:
+    """``rows`` with ``listed``: false only where none of the ``n`` rows of ``keys`` has the same 32 bits ``of`` its columns."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (16 * n).bit_length()))
+    at = F.shiftrightunsigned(of, 32 - bits)
+    bitmap = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    bit = F.bitmap_bit_position(at)
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", bit).join(F.broadcast(bitmap), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.expr("shiftleft(1, int(bit % 8))")) != 0
+    return joined.withColumn("listed", F.coalesce(there, F.lit(False))).drop("bucket", "bit", "bitmap")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most ``rows`` rows from here on in this session: texts can be long,
     and a worker and its executor hold whole batches."""

@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from vigilake.llm.common import LOCATOR, located, materialize, small_batches, table
+from vigilake.llm.common import LOCATOR, located, marked, materialize, of_place, small_batches, table
 
 SEED = 42
 PLAIN_SHARE, SPM_SHARE = 50, 80  # h3 % 100 below: cut; h4 % 100 below: suffix first
 MARKS = ["<P>", "<S>", "<M>"]
-#: Bits of digests that address the bitmap of groups: 16 times their number, within these bounds (8 KB and 32 MB).
-BITS = (16, 28)
 LIST = StructType().add("n", "long").add("n_chars", "long").add("low_bits", "integer").add("lower", "binary").add("upper", "binary")
 CUT = StructType().add("prefix", "long").add("middle", "long")
 _SPACE = np.zeros(256, bool)
@@ -109,23 +107,6 @@ def of_digest() -> Column:
     return F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
 
 
-def of_place() -> Column:
-    """32 bits of a place."""
-    return F.shiftrightunsigned(F.xxhash64("place"), 32)
-
-
-def marked(rows: DataFrame, groups: DataFrame, n: int, of: Column) -> DataFrame:
-    """``rows`` with ``grouped``: false only where none of the ``n`` groups has the same 32 bits ``of`` its columns."""
-    bits = min(BITS[1], max(BITS[0], (16 * n).bit_length()))
-    at = F.shiftrightunsigned(of, 32 - bits)
-    bitmap = groups.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-    bit = F.bitmap_bit_position(at)
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", bit).join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, int(bit div 8) + 1, 1)")), 16, 10).cast("int")
-    there = byte.bitwiseAND(F.expr("shiftleft(1, int(bit % 8))")) != 0
-    return joined.withColumn("grouped", F.coalesce(there, F.lit(False))).drop("bucket", "bit", "bitmap")
-
-
 def listed(docs: DataFrame, digest=lambda t: F.unhex(F.sha2(t.cast("binary"), 256))) -> DataFrame:
     """doc_id, text (null as empty) and boundary list of every row: one list is made for each distinct text."""
     spark = docs.sparkSession
@@ -137,11 +118,11 @@ def listed(docs: DataFrame, digest=lambda t: F.unhex(F.sha2(t.cast("binary"), 25
     groups = materialize(groups.select("digest", F.col("first").alias("place")), "fim-groups")
     n = groups.count()
     split = marked(rows.withColumn("digest", digest(F.col("text"))), groups, n, of_digest())
-    alone = split.filter("NOT grouped").select("doc_id", "text", boundary_list("text").alias("list"))
+    alone = split.filter("NOT listed").select("doc_id", "text", boundary_list("text").alias("list"))
 
-    copies = materialize(split.filter("grouped").select("doc_id", "text", "digest", F.struct(*LOCATOR).alias("place")), "fim-copies")
+    copies = materialize(split.filter("listed").select("doc_id", "text", "digest", F.struct(*LOCATOR).alias("place")), "fim-copies")
     # the same again, so that of a group's texts only its first one moves to its row of the index
-    firsts = marked(copies, groups, n, of_place()).filter("grouped").join(groups, ["digest", "place"])
+    firsts = marked(copies, groups, n, of_place()).filter("listed").join(groups, ["digest", "place"])
     index = materialize(firsts.select("digest", F.col("text").alias("indexed"), boundary_list("text").alias("index")), "fim-index")
     joined = copies.join(index, "digest", "left").withColumn("same", F.coalesce(F.col("text") == F.col("indexed"), F.lit(False)))
     own = boundary_list(F.when(~F.col("same"), F.col("text")))

@@ -136,14 +136,8 @@ class GrayIndex:
         keep = (x <= y) if level > 1 else (x < y)
         return x[keep], y[keep]
 
-    def components(self, most: int) -> np.ndarray:
-        """Smallest member of each fingerprint's component under ``most`` differing bits."""
-        fp, n = self.both[0], len(self.both[0])
-        parent = np.arange(n)
-        for d in range(1, min(5, n)):  # neighbours in Gray order are mostly linked where any are
-            near = np.flatnonzero(np.bitwise_count(fp[d:] ^ fp[:-d]) <= most)
-            _unite(parent, near, near + d)
-        label = _roots(parent, np.arange(n))
+    def near(self, most: int, label: np.ndarray):
+        """Lots of pairs within ``most`` differing bits whose labels differ; nodes of one label are dropped with all below."""
         low, high = [label], [label]
         for s in self.starts:
             low.append(np.minimum.reduceat(low[-1], s[:-1]))
@@ -166,10 +160,21 @@ class GrayIndex:
             known = (low[level][a] == high[level][a]) & (low[level][a] == low[level][b]) & (low[level][b] == high[level][b])
             keep = (differ <= most) & ~known
             a, b = a[keep], b[keep]
-            if not level:
-                _unite(parent, a, b)
-            elif len(a):
-                todo.append((level, a, b))
+            if len(a):
+                if level:
+                    todo.append((level, a, b))
+                else:
+                    yield a, b
+
+    def components(self, most: int) -> np.ndarray:
+        """Smallest member of each fingerprint's component under ``most`` differing bits."""
+        fp, n = self.both[0], len(self.both[0])
+        parent = np.arange(n)
+        for d in range(1, min(5, n)):  # neighbours in Gray order are mostly linked where any are
+            near = np.flatnonzero(np.bitwise_count(fp[d:] ^ fp[:-d]) <= most)
+            _unite(parent, near, near + d)
+        for a, b in self.near(most, _roots(parent, np.arange(n))):
+            _unite(parent, a, b)
         return _roots(parent, np.arange(n))
 
 
@@ -186,6 +191,24 @@ def forest(group: np.ndarray, fp: np.ndarray, most: int = DIFFERING) -> tuple[np
     return fp[tied], fp[root[tied]]
 
 
+def whole_groups(batches, names: list[str], key):
+    """Columns of lots of whole groups, of about ``GROUP_ROWS`` rows, from batches that are sorted by ``key`` of the columns."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        columns = [b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in names]
+        group = key(*columns)
+        held.append(columns)
+        rows += b.num_rows
+        if rows >= GROUP_ROWS and group[0] != group[-1]:  # all but the last group are whole
+            cut = int(np.searchsorted(group, group[-1]))
+            held[-1] = [c[:cut] for c in columns]
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, rows = [[c[cut:] for c in columns]], b.num_rows - cut
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def links(prints: DataFrame, most: int = DIFFERING) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that span all components of links."""
     width = 64 // (most + 1)
@@ -195,26 +218,9 @@ def links(prints: DataFrame, most: int = DIFFERING) -> DataFrame:
     dealt = blocks.repartition("block", "value").sortWithinPartitions("block", "value")
 
     def run(batches):
-        def edges(rows):
-            group, fp = rows
-            a, b = forest(group, fp.view(np.uint64), most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-        for b in batches:
-            block, value, fp = (b.column(b.schema.names.index(c)).to_numpy() for c in ("block", "value", "fp"))
-            group = block.astype(np.int64) << 48 | value
-            held.append((group, fp))
-            rows += len(fp)
-            if rows >= GROUP_ROWS and group[0] != group[-1]:  # all but the last group are whole
-                cut = int(np.searchsorted(group, group[-1]))
-                last = held.pop()
-                held.append((last[0][:cut], last[1][:cut]))
-                yield edges([np.concatenate(c) for c in zip(*held, strict=True)])
-                held, rows = [(last[0][cut:], last[1][cut:])], len(fp) - cut
-        if rows:
-            yield edges([np.concatenate(c) for c in zip(*held, strict=True)])
+        for block, value, fp in whole_groups(batches, ["block", "value", "fp"], lambda block, value, _: block.astype(np.int64) << 48 | value):
+            a, b = forest(block.astype(np.int64) << 48 | value, fp.view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.select("block", "value", "fp").mapInArrow(run, "a long, b long")
 
