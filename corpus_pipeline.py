@@ -3,13 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
 Every stage works on all that the one before it kept.
+
+Nulls: a null text is empty in every stage; a row with a null doc_id is kept where no other stands for its text. Repeated rows
+and ties are decided as each stage's module states. Extra columns are kept until the packing, whatever their names. Texts of
+any length are used whole. Empty tables give no rows; without labels the classifier rejects by its untrained score.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.llm import exact_dedup, packing, quality, simhash
+from vigilake.llm import exact_dedup, near_copies, packing, quality
 from vigilake.llm.common import materialize, table
 
 
@@ -25,8 +29,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
