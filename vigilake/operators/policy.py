@@ -96,3 +96,10 @@ def first_match(*verdicts: Column) -> Column:
     for v in reversed(verdicts[:-1]):
         out = F.when(v["matched"], v).otherwise(out)
     return out
+
+
+def reaction_verdict(triggered: Column, profile: Column, policy: Column, action: Column, custom: Column, dry_run: Column) -> Column:
+    """PL14: a reaction is judged by its author's profile alone; the only message in sight is another's, so none is named."""
+    own = F.filter(triggered, lambda x: x != "message_media")
+    v = verdict(own, headline_score(profile, F.lit(None).cast("double")), policy, action, custom, dry_run)
+    return v.withField("message_id", F.lit(None).cast("long"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vigilake.functions import scores
+
 WINDOWS = {"d1": 1, "d7": 7, "d30": 30, "all": None}
 
 
@@ -91,3 +93,11 @@ def threshold_sweep(scored: DataFrame, first: int = 10, last: int = 95, step: in
     out = out.withColumn("accuracy", F.round((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 6))
     best = F.row_number().over(Window.orderBy(F.desc("accuracy"), "threshold")) == 1  # as many rows as thresholds
     return out.withColumn("best", best)
+
+
+def evaluated_by_both(screened: DataFrame, verified: DataFrame, key: str, categories: list[str]) -> DataFrame:
+    """SE05, SO08: what both evaluations hold: screening score, category score, and the two labels of most weight."""
+    best = scores.sorted_labels(F.col("labels"))
+    total = scores.category_score(F.col("labels"), F.array(*map(F.lit, categories)))
+    name = lambda k: F.try_element_at(best, F.lit(k))["label"]
+    return screened.join(verified, key).select(key, "fast", total.alias("score"), name(1).alias("first"), name(2).alias("second"))

@@ -659,4 +659,4 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-from vigilake.plans import moderation, streams  # noqa: E402, F401  (they register their queries)
+from vigilake.plans import moderation, streams, feeds  # noqa: E402, F401  (they register their queries)
