@@ -5,13 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from vigilake.operators import intake, media, policy, position, signals, state, stats
 from vigilake.plans.moderation import _ANY, _BIOS, _CONTACT, _DISPLAY, _FIRES, _IMAGE, _LIST, _VOCABULARY
 from vigilake.plans.queries import scratch
 from vigilake.plans.registry import query
 from vigilake.sources import bindings as b
-from vigilake.sources import updates
+from vigilake.sources import clips, updates
 from vigilake.streaming import delivery
 
 # ---- raw updates --------------------------------------------------------------------------------
@@ -195,3 +196,27 @@ def evaluation_listing(spark, sf):
     verified = media.labelled(images.filter("image_id % 4 <> 0"), b.LABELS).select("image_id", "labels")
     out = stats.evaluated_by_both(screened, verified, "image_id", b.VERIFIER_BASE)
     return out.select("image_id", F.round("fast", 6).alias("fast"), F.round("score", 6).alias("score"), "first", "second")
+
+
+# ---- clips --------------------------------------------------------------------------------------
+
+
+@F.udf(BinaryType())
+def _as_clip(doc_id: int, text: str | None) -> bytes:
+    """A document as a clip: its lines are the samples; every eleventh is cut off."""
+    raw = clips.packed([x.encode() for x in (text or "").split("\n")], wide=doc_id % 2 == 0)
+    return raw[: len(raw) - 40] if doc_id % 11 == 0 else raw
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN i END AS position, CASE WHEN doc_id % 11 <> 0 THEN n END AS total, CASE WHEN doc_id % 11 <> 0 THEN i / 25 END AS seconds, CASE WHEN doc_id % 11 <> 0 THEN strlen(lines[i + 1]) END AS size,
+    CASE WHEN doc_id % 11 <> 0 THEN sha256(lines[i + 1]) END AS still, CASE WHEN doc_id % 11 <> 0 THEN i % 10 = 0 END AS is_key, doc_id % 11 = 0 AS failed
+    FROM (SELECT *, unnest(CASE WHEN doc_id % 11 = 0 THEN [0] WHEN n <= 12 THEN range(n) ELSE list_distinct(list_transform(range(12), lambda k: CAST(round_even(k * (n - 1) / 11, 0) AS BIGINT))) END)::INT AS i
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, len(string_split(coalesce(text, ''), chr(10)))::INT AS n FROM documents))"""
+)
+def clip_frames(spark, sf):
+    """ML07, ML04: at most twelve stills of each clip, with the bytes at their places; what can't be read says so."""
+    made = b.read(spark, sf, "documents").select("doc_id", _as_clip("doc_id", "text").alias("content"))
+    rows = made.lateralJoin(clips.frames(F.col("content").outer(), F.lit(clips.MOST)))
+    still = F.expr("substring(content, int(offset) + 1, int(size))")
+    return rows.select("doc_id", "position", "total", "seconds", "size", F.sha2(still, 256).alias("still"), "is_key", F.col("error").isNotNull().alias("failed"))
