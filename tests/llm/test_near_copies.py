@@ -75,14 +75,34 @@ def test_similarity():
     assert got == [1.0, 2 / 4, 1.0, 0.0]
 
 
+def test_shingles_by_brute_force():
+    """Equal hashes for equal shingles only, whatever stands around a text."""
+    import pyarrow as pa
+
+    random.seed(5)
+    texts = ["".join(random.choice("aB é\n\t漢x \x0b ") for _ in range(random.randrange(60))) for _ in range(300)] + ["", None, "  ", "x" * 3000, "one", "One two", " one  two three four five six"]
+    seen = {}
+    for at in (0, 1, 250):
+        words, count = near_copies.word_hashes(pa.array(texts).slice(at))
+        for size in (1, 2, 5):
+            flat, n = near_copies.shingles(words, count, size)
+            for t, mine in zip(texts[at:], np.split(flat, np.cumsum(n)[:-1]), strict=True):
+                w = (t or "").encode().lower().split()
+                want = [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+                assert len(want) == len(mine)
+                for x, h in zip(want, mine.tolist(), strict=True):
+                    assert seen.setdefault((size, x), h) == h
+    assert len({(k[0], h) for k, h in seen.items()}) == len(seen)
+
+
 def test_neighbours_by_brute_force():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fp = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(8)])
     group, id_ = rng.integers(0, 3, len(fp)), rng.permutation(len(fp))
     n, label = rng.integers(8, 13, len(fp)), rng.integers(0, 100, len(fp))
-    for k in (1, 3, 50):
-        a, b, d, many = near_copies.neighbours(group, id_, fp, n, label, k)
+    for k, again in ((1, np.ones(len(fp), bool)), (3, rng.random(len(fp)) < 0.3), (50, group == 1)):
+        a, b, d, many = near_copies.neighbours(group, id_, fp, n, label, again, k)
         got = defaultdict(list)
         for x, y, z, m in zip(a.tolist(), b.tolist(), d.tolist(), many.tolist(), strict=True):
             got[x].append((z, y))
@@ -90,7 +110,7 @@ def test_neighbours_by_brute_force():
             want = sorted(
                 (int(fp[i] ^ fp[j]).bit_count(), int(id_[j]))
                 for j in range(len(fp))
-                if i != j and group[i] == group[j] and label[i] != label[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= near_copies.RADIUS
+                if i != j and again[i] and group[i] == group[j] and label[i] != label[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and int(fp[i] ^ fp[j]).bit_count() <= near_copies.RADIUS
             )
             assert sorted(got[id_[i]]) == want[:k]
             assert all(m == (len(want) >= k) for x, m in zip(a.tolist(), many.tolist(), strict=True) if x == id_[i])

@@ -7,7 +7,7 @@ similarity differ in 2 to 14 of 64 bits, too many for the few wide blocks of ``s
    fingerprints differ less between near copies);
 2. each node is dealt into ``TABLES`` tables by ``BITS`` sampled bits of the fingerprint. Two fingerprints that differ in d bits
    share a group of one table at least with probability 1 - (1 - C(64-d, BITS) / C(64, BITS)) ** TABLES: over 0.999 for 3 bits,
-   0.98 for 6, 0.84 for 9, 0.56 for 12. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
+   0.98 for 6, 0.78 for 9, 0.40 for 12. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
    neighbours within ``RADIUS`` bits, of a size that allows the similarity;
 3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars), and nodes go on
    to propose 8, 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
@@ -25,37 +25,98 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from vigilake.llm import simhash
-from vigilake.llm.bpe import in_small_lots
 from vigilake.llm.common import LOCATOR, located, marked, materialize, of_place, set_aside, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
-INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 12, 32, 16, 11
+INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 12, 24, 16, 11
 NEAREST = 16
-HELD = 2_000_000  # neighbours that a task holds before it keeps the nearest
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    return np.unique(np.array(simhash.hashes(text, WORDS), np.uint64))
+HELD = 500_000  # neighbours that a task holds before it keeps the nearest
+PIECE = 1 << 20  # bytes of words that are hashed together
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each number with all of its bits spread over all others."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(max(n, 1), _BASE)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased, between ASCII white space), and how many each text has."""
+    texts = pa.concat_arrays([texts]).fill_null("").cast(pa.large_string())
+    n = len(texts)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    word = np.ones(len(raw) + 1, bool)
+    word[-1] = False
+    for space in (32, *range(9, 14)):
+        word[:-1] &= raw != space
+    begins, ends = word[:-1].copy(), word[:-1].copy()
+    begins[1:] &= ~word[:-2]
+    ends &= ~word[1:]
+    inner = offsets[:-1][np.diff(offsets) > 0]  # a text begins and ends words whatever its neighbours are
+    begins[inner] = word[inner]
+    ends[inner[1:] - 1] = word[inner[1:] - 1]
+    start = np.flatnonzero(begins)
+    length = np.flatnonzero(ends) + 1 - start
+    count = np.bincount(np.searchsorted(offsets, start, side="right") - 1, minlength=n)
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):  # pieces of about a megabyte, so that a long text needs little memory
+        to = max(at + 1, int(np.searchsorted(start, start[at] + PIECE)))
+        s, size = start[at:to], length[at:to]
+        places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        byte = raw[places + np.repeat(s, size)]
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint64) + np.uint64(1)
+        sums = np.add.reduceat(byte * _powers(int(size.max()))[places], np.cumsum(size) - size)
+        out[at:to] = _mixed(sums + size.astype(np.uint64) * _BASE)
+        at = to
+    return out, count
+
+
+def shingles(words: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``size``-word shingles of texts, repeats included, and how many each has; a text of fewer words is one shingle."""
+    place = _powers(size + 1)[1:]
+    ends = np.cumsum(count)
+    room = np.repeat(ends, count) - np.arange(len(words))  # words from here to the end of the text
+    out = np.zeros(len(words), np.uint64)
+    for j in range(size):
+        inside = len(words) - j
+        out[:inside] += np.where(room[:inside] > j, words[j:] * place[j], np.uint64(0))
+    short = (np.repeat(count, count) < size) & (room == np.repeat(count, count))
+    keep = (room >= size) | short
+    return _mixed(out[keep]), np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
 
 
 @F.arrow_udf(DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Jaccard similarity of the shingles of two texts; 1 if neither has any."""
-    out, last, of_last = [], None, None
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if y != last:
-            last, of_last = y, shingle_set(y)  # rows of one text mostly stand together
-        mine = shingle_set(x)
-        both = len(np.intersect1d(mine, of_last, assume_unique=True))
-        every = len(mine) + len(of_last) - both
-        out.append(both / every if every else 1.0)
-    return pa.array(out)
+    out = []
+    for at in range(0, len(a), 16):
+        sets = []
+        for side in (a, b):
+            flat, n = shingles(*word_hashes(side.slice(at, 16)), WORDS)
+            sets.append([np.unique(x) for x in np.split(flat, np.cumsum(n)[:-1])])
+        for x, y in zip(*sets, strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            every = len(x) + len(y) - both
+            out.append(both / every if every else 1.0)
+    return pa.array(out, pa.float64())
 
 
 def prints(source: DataFrame) -> DataFrame:
@@ -66,20 +127,32 @@ def prints(source: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fp, whole, n = [], [], []
-            for lot in in_small_lots(b.column("text").to_pylist(), 500_000):
-                fp.append(simhash.fingerprints_of(lot, INDEX_WORDS))
-                for s in map(shingle_set, lot):
+            fp, whole, n, text = [np.zeros(0, np.uint64)], [], [], b.column("text")
+            for lot in _lots(text):
+                words, count = word_hashes(lot)
+                fp.append(simhash.majority(*shingles(words, count, INDEX_WORDS)))
+                flat, size = shingles(words, count, WORDS)
+                for s in map(np.unique, np.split(flat, np.cumsum(size)[:-1])):
                     whole.append(xxhash.xxh3_128_digest(s.tobytes()))
                     n.append(len(s))
             s = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
-            cols = [np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64), s[:, 0], s[:, 1], np.array(n, np.int32)]
+            cols = [np.concatenate(fp).view(np.int64), s[:, 0], s[:, 1], np.array(n, np.int32)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, cols)], names=schema.names)
 
     small_batches(source.sparkSession)
     return source.select("doc_id", *LOCATOR, "text").mapInArrow(run, schema)
 
 
+def _lots(texts: pa.Array):
+    """Slices of about half a megabyte, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + PIECE // 2)))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def sampled_bits() -> np.ndarray:
     """The bits that each table looks at."""
     rng = np.random.default_rng(SEED)
@@ -87,8 +160,9 @@ def sampled_bits() -> np.ndarray:
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
-    """(key, id, fp, n): each node in its group of every table."""
+    """(key, id, fp, n, label, again): each node in its group of every table."""
     bits = sampled_bits()
+    names = ["id", "fp", "n", "label", "again"]
 
     def run(batches):
         for b in batches:
@@ -97,9 +171,9 @@ def dealt(nodes: DataFrame) -> DataFrame:
                 key = np.full(len(fp), t << BITS, np.int64)
                 for k, place in enumerate(places):
                     key |= ((fp >> place) & np.uint64(1)).astype(np.int64) << k
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *b.columns], names=["key", "id", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *b.columns], names=["key", *names])
 
-    return nodes.select("id", "fp", "n").mapInArrow(run, "key int, id long, fp long, n int")
+    return nodes.select(*names).mapInArrow(run, "key int, id long, fp long, n int, label long, again boolean")
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, id_: np.ndarray, k: int) -> np.ndarray:
@@ -110,20 +184,24 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, id_: np.ndarray, k: in
     return order[rank < k]
 
 
-def neighbours(group: np.ndarray, id_: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(a, b, differing bits, whether a has as many as it may) of the ``k`` nearest of each node in its group, of other labels."""
+def neighbours(group, id_, fp, n, label, again, k: int) -> tuple[np.ndarray, ...]:
+    """(a, b, differing bits, whether a has as many as it may) of the ``k`` nearest of other labels of each node that is looked up again."""
     order = np.lexsort((simhash.gray_rank(fp), group))
     same = group[order][1:] == group[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    group, id_, fp, n, label = (x[order] for x in (group, id_, fp, n, label))
+    group, id_, fp, n, label, again = (x[order] for x in (group, id_, fp, n, label, again))
     none = np.zeros(0, np.int64)
     held = [none, none, none]
+    asked = again | (np.isin(group, group[again]))  # groups that nobody asks about are left out
+    group, id_, fp, n, label, again = (x[asked] for x in (group, id_, fp, n, label, again))
     if len(fp):
         for a, b in simhash.GrayIndex(group, fp).near(RADIUS, label):
             fits = (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])) & (label[a] != label[b])
             a, b = a[fits], b[fits]
             d = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
-            held = [np.concatenate(x) for x in zip(held, (np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))), strict=True)]
+            there, back = again[a], again[b]
+            found = (np.concatenate((a[there], b[back])), np.concatenate((b[there], a[back])), np.concatenate((d[there], d[back])))
+            held = [np.concatenate(x) for x in zip(held, found, strict=True)]
             if len(held[0]) > HELD:
                 held = _kept(held, id_, k)
     a, b, d = _kept(held, id_, k)
@@ -136,15 +214,16 @@ def _kept(held: list[np.ndarray], id_: np.ndarray, k: int) -> list[np.ndarray]:
     return [x[keep] for x in held]
 
 
-def candidates(tables: DataFrame, k: int) -> DataFrame:
-    """(a, b, d, many): neighbours that nodes name, from (key, id, fp, n, label)."""
+def candidates(nodes: DataFrame, k: int) -> DataFrame:
+    """(a, b, d, many): neighbours that nodes name, from (id, fp, n, label, again)."""
+    names = ["key", "id", "fp", "n", "label", "again"]
 
     def run(batches):
-        for key, id_, fp, n, label in simhash.whole_groups(batches, ["key", "id", "fp", "n", "label"], lambda key, *_: key):
-            a, b, d, many = neighbours(key, id_, fp.view(np.uint64), n, label, k)
+        for key, id_, fp, n, label, again in simhash.whole_groups(batches, names, lambda key, *_: key):
+            a, b, d, many = neighbours(key, id_, fp.view(np.uint64), n, label, again, k)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32)), pa.array(many)], names=["a", "b", "d", "many"])
 
-    grouped = tables.select("key", "id", "fp", "n", "label").repartition("key").sortWithinPartitions("key")
+    grouped = dealt(nodes).repartition("key").sortWithinPartitions("key")
     return grouped.mapInArrow(run, "a long, b long, d int, many boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("many").alias("many"))
 
 
@@ -197,12 +276,13 @@ def classes(source: DataFrame) -> DataFrame:
     rows = materialize(prints(source), "near-prints")
     nodes = rows.groupBy("s1", "s2").agg(F.min(F.struct(F.struct(*LOCATOR).alias("place"), "fp", "n")).alias("first"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "first.*"), "near-nodes")
-    tables = materialize(dealt(nodes), "near-tables")
     parts, k, again = Components(spark), NEAREST, None
     while True:
-        here = tables if again is None else tables.join(tables.join(again, "id", "left_semi").select("key").distinct(), "key", "left_semi")
-        labelled = here.withColumn("label", F.col("id")) if again is None else parts.label(here, "id")
-        named = materialize(candidates(labelled, k), "near-candidates")
+        if again is None:
+            asked = nodes.withColumns({"label": F.col("id"), "again": F.lit(True)})
+        else:
+            asked = parts.label(nodes, "id").join(again.withColumn("again", F.lit(True)), "id", "left").withColumn("again", F.col("again").isNotNull())
+        named = materialize(candidates(asked, k), "near-candidates")
         known = named.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         places = materialize(nodes.join(known, "id", "left_semi").select("id", "place"), "near-places")
         texts = source.select(F.struct(*LOCATOR).alias("place"), F.coalesce("text", F.lit("")).alias("text"))

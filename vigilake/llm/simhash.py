@@ -30,7 +30,7 @@ from vigilake.llm.common import LOCATOR, discard, located, materialize, set_asid
 
 SHINGLE, DIFFERING, SEED = 3, 3, 42
 LEAF, FAN = 16, 8  # fingerprints of a leaf, children of an upper node
-GROUP_ROWS, PAIRS = 65_536, 1_000_000  # rows of whole groups that are joined at once; pairs that are compared at once
+GROUP_ROWS, PAIRS = 65_536, 262_144  # rows of whole groups that are joined at once; pairs that are compared at once
 
 
 def hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -49,12 +49,15 @@ def hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> list[int]
 def fingerprints_of(texts: list[str | None], size: int = SHINGLE) -> np.ndarray:
     """Fingerprints as unsigned 64-bit numbers."""
     each = [hashes(t, size) for t in texts]
-    n = np.array([len(h) for h in each])
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array([x for h in each for x in h], "<u8"), np.array([len(h) for h in each], np.int64))
+
+
+def majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprint of each run of ``n[i]`` hashes: the bits that over half of them have; zero without any."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
-        flat = np.array([x for h in each for x in h], "<u8")
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         starts = np.cumsum(n[full]) - n[full]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         over = (2 * ones > n[full][:, None]).astype(np.uint8)
