@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vigilake.functions import text
+
 # Defaults and closed lists of the settings.
 DEFAULT_CATEGORIES = ["porn", "hentai", "sexy"]
 MEDIA_KINDS = ["photo", "animation", "sticker", "video"]
@@ -58,6 +60,10 @@ def parse(raw: DataFrame) -> DataFrame:
         string_list(F.col("categories"), DEFAULT_CATEGORIES).alias("categories"),
         known_only(string_list(F.col("media_kinds"), []), MEDIA_KINDS, KIND_ALIASES).alias("media_kinds"),
         known_only(string_list(F.col("topics"), []), TOPICS).alias("topics"),
+        *[clamp(F.col(c), 0, 100).alias(c) for c in ("media_threshold", "text_threshold", "ad_threshold")],
+        enum(F.col("text_action"), ACTIONS, "delete").alias("text_action"),
+        text.language_of_code(F.col("lang")).alias("lang"),
+        *[F.coalesce(c, F.lit(DEFAULTS[c])).alias(c) for c in ("dry_run", "lang_locked", "delete_bot_messages", "global_blocklist", "media_scan", "text_scan", "ad_scan", "reaction_scan", "ban_foreign_bots")],
     )
 
 

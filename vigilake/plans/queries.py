@@ -275,29 +275,50 @@ def keyword_matches(spark, sf):
 
 
 _NAMES = ["Maryam", "join now 👉 t.me/x", "18+ click", "Смотри канал", "@abcdef", "watchtower", "جوین بزن", "", "⬇ subscribe", "жми", "жмите"]
-_NAME_GOLD = [[], ["invite link in name", "call to action in name", "pointer emoji in name"], ["age marker in name", "call to action in name"], ["call to action in name"], ["invite link in name"], [], ["call to action in name"], [], ["call to action in name", "pointer emoji in name"], ["call to action in name"], []]
+_EDGE = r"[^\p{L}\p{N}_]"  # what ends a word, where \b knows ASCII only
+_bounded = lambda p: p.replace(r"\b1", f"(?:^|{_EDGE})1").replace(r"\b", f"(?:$|{_EDGE})")
+_AT = lambda values, k: f"list_extract([{', '.join(map(_literal, values))}], CAST({k} % {len(values)} AS INT) + 1)"
+_nth = lambda values, k: F.element_at(F.array(*map(F.lit, values)), F.expr(f"int({k} % {len(values)}) + 1"))
 
 
-@query(f"SELECT name, array_to_string(hits, '|') AS hits, CASE WHEN len(hits) >= 2 THEN 1.0::DOUBLE WHEN len(hits) = 1 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS score FROM (SELECT name, CAST(h AS VARCHAR[]) AS hits FROM {rows_sql('name, h', list(zip(_NAMES, _NAME_GOLD)))})")
+@query(
+    f"""SELECT c_custkey, hits, CASE n WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 1.0 END::DOUBLE AS score FROM (SELECT c_custkey, array_to_string(h, '|') AS hits, len(h) AS n FROM (
+    SELECT c_custkey, list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{_bounded(p)}') THEN '{label}' END" for label, p in text.NAME_PATTERNS.items())}], lambda x: x IS NOT NULL) AS h
+    FROM (SELECT c_custkey, {_AT(_NAMES, 'c_custkey')} || ' ' || c_name AS t FROM customer)))"""
+)
 def name_pattern(spark, sf):
-    rows = spark.createDataFrame([(n,) for n in _NAMES], "display_name string")
-    return rows.select(F.col("display_name").alias("name"), F.array_join(text.name_hits(F.col("display_name")), "|").alias("hits"), signals.name_pattern()["score"].alias("score"))
+    """every customer's name behind one of some that show something."""
+    rows = b.read(spark, sf, "customer").select("c_custkey", F.concat(_nth(_NAMES, "c_custkey"), F.lit(" "), "c_name").alias("display_name"))
+    return rows.select("c_custkey", F.array_join(text.name_hits(F.col("display_name")), "|").alias("hits"), signals.name_pattern()["score"].alias("score"))
 
 
-_TITLES = {"Photo club": "en", "گروه چت": "fa", "مجموعة نقاش": "ar", "Чат": "ru", "123 🙂": "en", "abc где": "ru", "چت ab": "fa", "قناة": "ar", "ok привет всем": "ru", "سلام": "fa"}
+_TITLES = ["Photo club", "گروه چت", "مجموعة نقاش", "Чат", "123 🙂", "abc где", "چت ab", "قناة", "ok привет всем", "سلام"]
+_LETTERS = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+_WORDS = lambda ws: " + ".join(f"3 * contains(t, '{w}')::INT" for w in ws)
 
 
-@query(f"SELECT title, lang FROM {rows_sql('title, lang', list(_TITLES.items()))}")
+@query(
+    f"""SELECT doc_id, cyrillic + arabic_script + latin AS letters, CASE WHEN greatest(latin, cyrillic, arabic_script) = 0 THEN 'en' WHEN cyrillic >= greatest(latin, arabic_script) THEN 'ru'
+      WHEN arabic_script >= latin THEN CASE WHEN ar > fa THEN 'ar' ELSE 'fa' END ELSE 'en' END AS lang
+    FROM (SELECT doc_id, {_LETTERS(text.LATIN)} AS latin, {_LETTERS(text.CYRILLIC)} AS cyrillic, {_LETTERS(text.ARABIC_SCRIPT)} AS arabic_script,
+      {_LETTERS(text.PERSIAN_LETTERS)} + {_WORDS(text.PERSIAN_WORDS)} AS fa, {_LETTERS(text.ARABIC_LETTERS)} + {_WORDS(text.ARABIC_WORDS)} AS ar
+      FROM (SELECT doc_id, {_AT(_TITLES, 'doc_id')} || coalesce(text, '')[1:8 * (doc_id % 3)] AS t FROM documents))"""
+)
 def lang_detect(spark, sf):
-    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", text.detect_language(F.col("title")).alias("lang"))
+    """F16, AG17: a title before the beginning of each document, of 0, 8 or 16 characters."""
+    rows = b.read(spark, sf, "documents").select("doc_id", F.concat(_nth(_TITLES, "doc_id"), F.expr("substring(coalesce(text, ''), 1, int(8 * (doc_id % 3)))")).alias("t"))
+    n = text.script_counts(F.col("t"))
+    return rows.select("doc_id", (n["cyrillic"] + n["arabic_script"] + n["latin"]).cast("long").alias("letters"), text.detect_language(F.col("t")).alias("lang"))
 
 
 _CODES = {"fa-IR": "fa", "pes": "fa", "RU_ru": "ru", "ar": "ar", "de": "en", "tg": "fa", "": "en"}
 
 
-@query(f"SELECT code, lang FROM {rows_sql('code, lang', list(_CODES.items()))}")
+@query(f"SELECT c_custkey, {_AT(list(_CODES.values()), 'c_custkey')} AS lang FROM customer")
 def lang_from_code(spark, sf):
-    return spark.createDataFrame([(c,) for c in _CODES], "code string").select("code", text.language_of_code(F.col("code")).alias("lang"))
+    """a code for each customer, with a region of its own."""
+    code = F.concat_ws("-", _nth(list(_CODES), "c_custkey"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")))
+    return b.read(spark, sf, "customer").select("c_custkey", text.language_of_code(code).alias("lang"))
 
 
 # ---- scores -----------------------------------------------------------------------------------
@@ -365,20 +386,26 @@ def percent_scores(spark, sf):
     return rows.select("id", scores.percent(F.col("score")).alias("percent"), (F.col("score").cast("float") >= scores.ratio(F.col("threshold"))).alias("over"))
 
 
-_SPREADS = [(1, 5, "0"), (3, 5, "0,1,2"), (10, 5, "0,2,4,7,9"), (100, 3, "0,50,99"), (0, 4, "0"), (9, 1, "0"), (5, 5, "0,1,2,3,4")]
-
-
-@query(f"SELECT total, most, frames FROM {rows_sql('total, most, frames', _SPREADS)}")
+@query(
+    """SELECT doc_id, total, most, array_to_string(CASE WHEN total <= 1 OR most <= 1 THEN [0] WHEN total <= most THEN range(total) ELSE list_distinct(list_transform(range(most), lambda k: CAST(round_even(k * (total - 1) / (most - 1), 0) AS BIGINT))).list_sort() END, ',') AS frames
+    FROM (SELECT doc_id, CAST(n_chars % 200 AS INT) AS total, CAST(1 + doc_id % 12 AS INT) AS most FROM documents)"""
+)
 def frame_spread(spark, sf):
-    rows = spark.createDataFrame([r[:2] for r in _SPREADS], "total int, most int")
-    return rows.select("total", "most", F.array_join(F.transform(scores.frame_indexes(F.col("total"), F.col("most")), lambda x: x.cast("string")), ",").alias("frames"))
+    """numbers of a clip's stills."""
+    rows = b.read(spark, sf, "documents").select("doc_id", F.expr("int(n_chars % 200)").alias("total"), F.expr("int(1 + doc_id % 12)").alias("most"))
+    return rows.select("doc_id", "total", "most", F.array_join(F.transform(scores.frame_indexes(F.col("total"), F.col("most")), lambda x: x.cast("string")), ",").alias("frames"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'mp4', 2.5::DOUBLE), ('b', 'matroska', 1.0::DOUBLE), ('c', NULL, 30.0::DOUBLE)) AS v(id, kind, fps)""")
+@query(
+    """SELECT page_id, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN 'mp4' WHEN 1 THEN 'matroska' END AS kind, CASE WHEN page_id % 7 = 0 THEN 1.0 ELSE greatest(0.01, least(30.0, 5.0 / ((page_id % 900) / 10))) END::DOUBLE AS fps
+    FROM pages"""
+)
 def container_sniff(spark, sf):
-    rows = [("a", b"\0\0\0\x18ftypisom", 2.0), ("b", b"\x1a\x45\xdf\xa3rest", None), ("c", b"GIF89a", 0.001)]
-    df = spark.createDataFrame(rows, "id string, content binary, duration double")
-    return df.select("id", scores.container(F.col("content")).alias("kind"), scores.frame_rate(F.lit(5.0), F.col("duration")).alias("fps"))
+    """the kind of each page's bytes behind the first bytes of a clip, and the rate that gives five stills; every seventh has no length."""
+    head = F.expr("CASE page_id % 4 WHEN 0 THEN X'0000001866747970' WHEN 1 THEN X'1A45DFA3' WHEN 2 THEN X'66747970' ELSE X'' END")
+    long = F.when(F.col("page_id") % 7 != 0, (F.col("page_id") % 900) / 10)
+    rows = b.read(spark, sf, "pages").select("page_id", F.concat(head, F.col("html").cast("binary")).alias("content"), long.alias("duration"))
+    return rows.select("page_id", scores.container(F.col("content")).alias("kind"), scores.frame_rate(F.lit(5.0), F.col("duration")).alias("fps"))
 
 
 # ---- policies ---------------------------------------------------------------------------------
@@ -484,29 +511,46 @@ def text_cache_reuse(spark, sf):
 
 # ---- settings and snapshots -------------------------------------------------------------------
 
-_RAW = [
-    (1, "Strict ", "BAN", None, "vaporise", 140, 9999, 1, -3, '["a", 3]', "not-a-list", '["photo","hologram","GIF"]', '["scam","x"]'),
-    (2, None, "mute", "warn", "ban", -5, 0, 99999, 7, '["f1","f2"]', '["porn"]', "[]", "{}"),
-    (3, "custom", "nope", "DELETE", None, 55, 7, 600, 0, '["a", null]', "[]", '["video", 3]', '["hate","politics"]'),
-]
-_RAW_COLUMNS = "chat_id long, policy string, action string, media_action string, ad_action string, threshold int, media_frames int, ttl int, grace int, custom_filters string, categories string, media_kinds string, topics string"
-_PARSED = [
-    (1, "strict", "ban", "delete", "warn", 100, 12, 5, 0, "", "porn,hentai,sexy", "photo,animation", "scam"),
-    (2, "nsfw_and_contact", "mute", "warn", "ban", 0, 1, 86400, 7, "f1,f2", "porn", "", ""),
-    (3, "custom", "ban", "delete", "warn", 55, 7, 600, 0, "", "", "", "hate,politics"),
-]
+# Raw values of a column and what they are read as; a row takes one of each by its key.
+_READ_AS = {
+    "policy": [("Strict ", "strict"), (None, "nsfw_and_contact"), ("custom", "custom"), ("off", "nsfw_and_contact")], "action": [("BAN", "ban"), ("mute", "mute"), ("nope", "ban"), (None, "ban"), (" report", "report")],
+    "media_action": [(None, "delete"), ("warn", "warn"), ("DELETE", "delete")], "text_action": [("Mute", "mute"), ("x", "delete"), (None, "delete"), ("ban", "ban")], "ad_action": [("vaporise", "warn"), ("ban", "ban"), (None, "warn")],
+    "custom_filters": [('["a", 3]', []), ('["f1","f2"]', ["f1", "f2"]), ('["a", null]', []), (None, [])], "categories": [("not-a-list", ["porn", "hentai", "sexy"]), ('["porn"]', ["porn"]), ("[]", []), ("{}", ["porn", "hentai", "sexy"])],
+    "media_kinds": [('["photo","hologram","GIF"]', ["photo", "animation"]), ("[]", []), ('["video", 3]', []), ('["Sticker "]', ["sticker"])], "topics": [('["scam","x"]', ["scam"]), ("{}", []), ('["hate","politics"]', ["hate", "politics"])],
+    "lang": [("fa-IR", "fa"), (None, "en"), ("ru", "ru"), ("xx", "en")],
+}
+_LISTED = ("custom_filters", "categories", "media_kinds", "topics")
+_CLAMPED = {"threshold": (0, 100), "media_threshold": (0, 100), "text_threshold": (0, 100), "ad_threshold": (0, 100), "media_frames": (1, 12), "ttl": (5, 86400), "grace": (0, None)}
+_ON = ["dry_run", "lang_locked", "delete_bot_messages", "global_blocklist", "media_scan", "text_scan", "ad_scan", "reaction_scan", "ban_foreign_bots"]
+_KEYED = lambda c: f"s_suppkey * {3 + 2 * sorted([*_READ_AS, *_CLAMPED, *_ON]).index(c)} // 2"
+_LOW_HIGH = lambda c, low, high: f"greatest({low}, {c})" if high is None else f"greatest({low}, least({high}, {c}))"
 
 
-@query(f"SELECT * REPLACE (CAST(chat_id AS BIGINT) AS chat_id) FROM {rows_sql('chat_id, policy, action, media_action, ad_action, threshold, media_frames, ttl, grace, custom_filters, categories, media_kinds, topics', _PARSED)}")
+@query(
+    "SELECT CAST(s_suppkey AS BIGINT) AS chat_id, "
+    + ", ".join(f"{_AT([','.join(v) if c in _LISTED else v for _, v in pairs], _KEYED(c))} AS {c}" for c, pairs in _READ_AS.items())
+    + ", " + ", ".join(f"CAST({_LOW_HIGH(f'({_KEYED(c)}) % 400 - 100', *ends)} AS INT) AS {c}" for c, ends in _CLAMPED.items())
+    + ", " + ", ".join(f"{_AT([True, False, settings.DEFAULTS[c]], _KEYED(c))} AS {c}" for c in _ON) + " FROM supplier"
+)
 def settings_parse(spark, sf):
-    out = settings.parse(spark.createDataFrame(_RAW, _RAW_COLUMNS))
-    return out.withColumns({c: F.array_join(c, ",") for c in ("custom_filters", "categories", "media_kinds", "topics")})
+    """A raw row for each supplier; all columns clamped, known values only, or their defaults."""
+    key = lambda c: _KEYED(c).replace("//", "div")
+    raw = b.read(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("long").alias("chat_id"), *[_nth([v for v, _ in pairs], key(c)).alias(c) for c, pairs in _READ_AS.items()],
+        *[F.expr(f"int(({key(c)}) % 400 - 100)").alias(c) for c in _CLAMPED], *[_nth([True, False, None], key(c)).alias(c) for c in _ON],
+    )
+    return settings.parse(raw).withColumns({c: F.array_join(c, ",") for c in _LISTED})
 
 
-@query("SELECT * FROM (VALUES ('a,b', 'B', 'a'), ('a', 'c', 'a,c'), ('', 'x', 'x')) AS v(items, item, after)")
+@query(
+    """SELECT id, array_to_string(CASE WHEN len(list_filter(items, lambda x: lower(x) = lower(item))) > 0 THEN list_filter(items, lambda x: lower(x) <> lower(item)) ELSE list_append(items, item) END, ',') AS after
+    FROM (SELECT id, list_transform(range(id % 4), lambda k: 'Item' || (k * 7 + id) % 5) AS items, 'iTEM' || user_id % 5 AS item FROM detections)""",
+    "detections",
+)
 def settings_toggle(spark, sf):
-    rows = spark.createDataFrame([(["a", "b"], "B"), (["a"], "c"), ([], "x")], "items array<string>, item string")
-    return rows.select(F.array_join("items", ",").alias("items"), "item", F.array_join(state.toggle(F.col("items"), F.col("item")), ",").alias("after"))
+    """SE02: an item of each event against a list of up to three."""
+    rows = b.detections(spark, sf).select("id", F.expr("IF(id % 4 = 0, cast(array() AS array<string>), transform(sequence(0, int(id % 4) - 1), k -> concat('Item', (k * 7 + id) % 5)))").alias("items"), F.expr("concat('iTEM', user_id % 5)").alias("item"))
+    return rows.select("id", F.array_join(state.toggle(F.col("items"), F.col("item")), ",").alias("after"))
 
 
 @query(
@@ -524,17 +568,23 @@ def upsert_users(spark, sf):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'f2', 'v3', 0.2::DOUBLE, NULL), (2, 'f1', 'v3', 0.3::DOUBLE, 'old'), (3, 'f1', 'v3', 0.9::DOUBLE, 'new'), (4, 'f9', 'v3', 0.1::DOUBLE, NULL)) AS v(user_id, fingerprint, pipeline, fast, labels)"""
+    """, r AS (SELECT user_id, id, created_at AS scanned_at, 'f' || chat_id % 2 AS fingerprint, CASE WHEN id % 9 = 0 THEN 'v2' ELSE 'v3' END AS pipeline, round(score, 6) AS fast, CASE WHEN id % 3 = 0 THEN 'l' || id END AS labels FROM detections),
+    o AS (SELECT * FROM r WHERE scanned_at < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY scanned_at DESC, id DESC) = 1),
+    n AS (SELECT * FROM r WHERE scanned_at >= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY scanned_at DESC, id DESC) = 1)
+    SELECT user_id, fingerprint, pipeline, fast, labels FROM (SELECT user_id, coalesce(n.scanned_at, o.scanned_at) AS scanned_at, coalesce(n.fingerprint, o.fingerprint) AS fingerprint, coalesce(n.pipeline, o.pipeline) AS pipeline, coalesce(n.fast, o.fast) AS fast,
+      CASE WHEN n.user_id IS NULL THEN o.labels ELSE coalesce(n.labels, CASE WHEN n.fingerprint = o.fingerprint AND n.pipeline = o.pipeline THEN o.labels END) END AS labels FROM n FULL JOIN o USING (user_id))
+    WHERE scanned_at >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY AND pipeline = 'v3'""",
+    "detections",
 )
 def cache_put(spark, sf):
-    """DML10, DML11, D3: labels stay only with their fingerprint and pipeline; old rows go."""
-    columns = "user_id int, fingerprint string, pipeline string, fast double, scanned_at timestamp_ntz, labels string"
-    row = lambda u, f, p, x, d, lab: (u, f, p, x, f"2024-01-{d:02} 00:00:00", lab)
-    text_columns = columns.replace("timestamp_ntz", "string")
-    old = [row(1, "f1", "v3", 0.8, 29, "old"), row(2, "f1", "v3", 0.8, 29, "old"), row(3, "f1", "v3", 0.8, 29, "old"), row(5, "f5", "v2", 0.8, 30, "old"), row(6, "f6", "v3", 0.8, 1, "old")]
-    new = [row(1, "f2", "v3", 0.2, 30, None), row(2, "f1", "v3", 0.3, 30, None), row(3, "f1", "v3", 0.7, 29, None), row(3, "f1", "v3", 0.9, 30, "new"), row(4, "f9", "v3", 0.1, 30, None)]
-    make = lambda rows: spark.createDataFrame(rows, text_columns).withColumn("scanned_at", F.col("scanned_at").cast("timestamp_ntz"))
-    return state.prune_cache(state.fold_cache(make(old), make(new)), b.AS_OF, 3, "v3").drop("scanned_at").select("user_id", "fingerprint", "pipeline", "fast", "labels")
+    """DML10, DML11, ST11, D3: what was scanned later folded into what was before; labels stay only with their fingerprint and pipeline; old rows go."""
+    d = b.detections(spark, sf)
+    r = d.selectExpr("user_id", "id", "created_at AS scanned_at", "concat('f', chat_id % 2) AS fingerprint", "IF(id % 9 = 0, 'v2', 'v3') AS pipeline", "round(score, 6) AS fast", "IF(id % 3 = 0, concat('l', id), NULL) AS labels")
+    r = r.withColumn("scanned_at", F.col("scanned_at").cast("timestamp_ntz"))
+    old = state.latest(r.filter("scanned_at < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), ["user_id"], F.col("scanned_at"), F.col("id")).drop("id")
+    new = r.filter("scanned_at >= TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    new = state.latest(new, ["user_id"], F.col("scanned_at"), F.col("id")).drop("id")
+    return state.prune_cache(state.fold_cache(old, new), b.AS_OF, 20, "v3").select("user_id", "fingerprint", "pipeline", "fast", "labels")
 
 
 @query("SELECT chat_id, user_id, count(*) % 2 = 1 AS dm_notify FROM detections WHERE event_type = 'click' GROUP BY ALL", "detections")
@@ -559,27 +609,43 @@ def admin_snapshot(spark, sf):
 
 # ---- events and enforcement -------------------------------------------------------------------
 
-_MESSAGES = [(1, "p", None, None, None, None, "photo"), (2, None, "a", None, None, None, "animation"), (3, None, None, "s", None, None, "sticker"), (4, None, None, None, "v", None, "video"), (5, None, None, None, None, "image/gif", "animation"), (6, None, None, None, None, "image/png", "photo"), (7, None, None, None, None, "video/mp4", "animation"), (9, None, None, None, None, "image/gifx", "photo"), (10, None, None, "s", "v", None, "video"), (8, None, None, None, None, "text/plain", None)]
+_MIMES = ["image/gif", "image/png", "video/mp4", "image/gifx", "text/plain", None, " image/GIF ; q=1", "IMAGE/png"]
 
 
-@query(f"SELECT id, kind, coalesce(list_contains(['photo', 'video'], kind), false) AS wanted FROM {rows_sql('id, kind', [(r[0], r[-1]) for r in _MESSAGES])}")
+@query(
+    f"""SELECT id, kind, coalesce(kind IN ('photo', 'video'), false) AS wanted FROM (SELECT id, CASE WHEN id % 6 = 0 THEN 'photo' WHEN id % 5 = 0 THEN 'animation' WHEN id % 7 = 0 THEN 'video' WHEN id % 11 = 0 THEN 'sticker'
+      ELSE {_AT(['animation', 'photo', 'animation', 'photo', None, None, None, None], 'id // 13')} END AS kind FROM detections)""",
+    "detections",
+)
 def media_classify(spark, sf):
-    rows = spark.createDataFrame([r[:-1] for r in _MESSAGES], "id int, photo string, animation string, sticker string, video string, mime string")
+    """The parts of each event's message, by its number; a type that isn't in lower case, or has a blank before it, is none."""
+    part = lambda n, name: F.when(F.col("id") % n == 0, name)
+    rows = b.detections(spark, sf).select("id", part(6, "p").alias("photo"), part(5, "a").alias("animation"), part(7, "v").alias("video"), part(11, "s").alias("sticker"), _nth(_MIMES, "id div 13").alias("mime"))
     kind = media.kind_of(*[F.col(c) for c in ("photo", "animation", "video", "sticker", "mime")])
     return rows.select("id", kind.alias("kind"), media.enabled(F.lit(True), F.array(F.lit("photo"), F.lit("video")), kind).alias("wanted"))
 
 
-@query("SELECT * FROM (VALUES (1, 'b2:a9'), (2, 'c1'), (3, '')) AS v(user_id, fingerprint)")
+@query(
+    """SELECT id, array_to_string(list_transform(range(least(3, id % 5)), lambda k: CASE WHEN (id % 7) * (k + 2) > (id % 4 + 1) * (k + 3) THEN 'a' ELSE 'b' END || id || '-' || k), ':') AS fingerprint FROM detections""",
+    "detections",
+)
 def photo_fingerprint(spark, sf):
-    rows = [(1, [[("b1", 1, 1), ("b2", 5, 5)], [("a8", 3, 3), ("a9", 3, 3)]]), (2, [[("c1", 1, 9)]]), (3, [])]
-    df = spark.createDataFrame(rows, "user_id int, photos array<array<struct<id string, w int, h int>>>")
-    return df.select("user_id", media.fingerprint(F.col("photos")).alias("fingerprint"))
+    """F38, SO07, SRC13: up to four photos of two variants for each event; of variants of one size the later id counts."""
+    variant = "named_struct('id', concat('{0}', id, '-', k), 'w', {1}, 'h', {2})"
+    both = f"array({variant.format('a', 'id % 7', 'k + 2')}, {variant.format('b', 'id % 4 + 1', 'k + 3')})"
+    photos = F.expr(f"filter(transform(sequence(0L, 3L), k -> IF(k < id % 5, {both}, NULL)), x -> x IS NOT NULL)")
+    return b.detections(spark, sf).select("id", media.fingerprint(photos).alias("fingerprint"))
 
 
-@query("SELECT s, a, r, CASE WHEN s OR a THEN 'leave' WHEN NOT r THEN 'powerless' ELSE 'ban' END AS verdict FROM (SELECT CAST(range % 2 AS BOOLEAN) AS s, CAST(range // 2 % 2 AS BOOLEAN) AS a, CAST(range // 4 AS BOOLEAN) AS r FROM range(8))")
+@query(
+    "SELECT id, CASE WHEN user_id % 50 = 7 OR p.admin_id IS NOT NULL THEN 'leave' WHEN NOT can THEN 'powerless' ELSE 'ban' END AS verdict FROM (SELECT *, chat_id % 3 <> 0 AS can FROM detections) d LEFT JOIN (SELECT DISTINCT chat_id, admin_id FROM prefs) p ON p.chat_id = d.chat_id AND p.admin_id = d.user_id",
+    "detections prefs",
+)
 def bot_guard(spark, sf):
-    rows = spark.range(8).selectExpr("CAST(id % 2 AS BOOLEAN) AS s", "CAST(id div 2 % 2 AS BOOLEAN) AS a", "CAST(id div 4 AS BOOLEAN) AS r")
-    return rows.select("s", "a", "r", media.bot_verdict(F.col("s"), F.col("a"), F.col("r")).alias("verdict"))
+    """The engine itself and admins stay; without the right nothing is done."""
+    admins = b.prefs(spark, sf).select("chat_id", F.col("admin_id").alias("user_id"), F.lit(True).alias("is_admin")).distinct()
+    rows = b.detections(spark, sf).join(admins, ["chat_id", "user_id"], "left")
+    return rows.select("id", media.bot_verdict(F.col("user_id") % 50 == 7, F.coalesce("is_admin", F.lit(False)), F.col("chat_id") % 3 != 0).alias("verdict"))
 
 
 @query("SELECT id, chat_id, user_id FROM detections WHERE event_type = 'signup' AND id % 2 = 0", "detections")
