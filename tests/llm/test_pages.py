@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 
 import duckdb
@@ -69,6 +70,58 @@ def test_names_are_whole_and_spare_the_heaviest_path(start):
     assert tag_paths.main_text(page) == "\n".join(body)
 
 
+BODY = [f"Sentence {k}, with some length; and, points. Here it goes on, and on." for k in range(12)]
+TEXT = "".join(f"<p>{b}</p>" for b in BODY)
+
+
+@pytest.mark.parametrize(
+    "side",
+    [
+        '<section class="comments-area"><h3>Comments</h3><p>Great read, thanks; I liked it, really. More, please.</p></section>', '<div class="sidebar-left"><p>About us, and more. Read, please.</p></div>',
+        '<div id="siteFooter"><p>All, of us.</p></div>', '<div class="post-comments"><p>First! I say, first.</p></div>', '<div class="x left_sidebar y"><p>About us, and more.</p></div>', '<ul class="social-links"><li>us</li></ul>',
+        '<div class="cookie-banner"><p>We use cookies, as all do.</p></div>', '<section><h2>3 Comments</h2><div><p>Great read, thanks; I liked it.</p></div></section>', '<h3>Kommentare</h3><p>Sehr gut, danke.</p>',
+    ],
+)
+@pytest.mark.parametrize("inside", [True, False])
+def test_compound_names_and_readers(side, inside):
+    page = f"<body><article><h1>T</h1>{TEXT}{side if inside else ''}</article>{'' if inside else f'<div>{side}</div>'}</body>"
+    assert tag_paths.main_text(page) == "\n".join(["T", *BODY])
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-sidebar", "without-ads", "post-header", "entry-header", "header-image-note", "readings", "comment", "commented-code"])
+def test_names_that_are_none(name):
+    """What only sounds like chrome stays, however short."""
+    page = f"<body><article><div class='{name}'><h2>Part</h2><p>One short line, here.</p></div>{TEXT}</article></body>"
+    assert (tag_paths.main_text(page) == "\n".join(["Part", "One short line, here.", *BODY])) == (name != "comment")
+
+
+def test_a_text_about_comments():
+    page = f"<body><article><h1>Comments in code</h1>{TEXT}<h2>Comments</h2>{TEXT}<h2>The end</h2><p>Last, at last.</p></article></body>"
+    assert tag_paths.main_text(page).startswith("Comments in code\n" + "\n".join(BODY)) and tag_paths.main_text(page).endswith("The end\nLast, at last.")
+
+
+def slow_scores(rows):
+    """The ratios of each block's path, worked out block by block."""
+    out = []
+    for _, path, chrome, inside, _ in rows:
+        mine = [t for t, p, *_ in rows if p == path]
+        points = sum(not (c.isalnum() or c == "_" or c.isspace()) for t in mine for c in t)
+        n = len(mine)
+        ratio = sum(map(len, mine)) / n * math.log2(2 + points / n) * math.log2(1 + n)
+        out.append(0.0 if chrome else ratio * (2 if inside else 1))
+    total = sum(math.exp(-d * d / 2) for d in range(-2, 3))
+    smooth = [sum(out[k + d] * math.exp(-d * d / 2) / total for d in range(-2, 3) if 0 <= k + d < len(out)) for k in range(len(out))]
+    return [math.sqrt(a * b) for a, b in zip(out, smooth, strict=True)]
+
+
+def test_ratios_by_brute_force(spark, data):
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").limit(40).collect()]
+    pages += [f"<body><div><ul><li>a<li>b, c</ul>{TEXT}</div><nav>x</nav></body>", f"<main>{TEXT}</main><p>one; two_three</p>"]
+    for page in pages:
+        rows = tag_paths.blocks(page)
+        assert tag_paths.path_scores(rows).tolist() == pytest.approx(slow_scores(rows))
+
+
 def test_headline_in_the_header_of_an_article():
     assert tag_paths.main_text("<header><h1>Site</h1></header><article><header><h1>T</h1><p>by me</p></header><p>one</article>") == "T\none"
 

@@ -7,8 +7,9 @@ blocks of paths above a threshold are content. This is done for every page. Stru
 state themselves weighs the ratios: paths through navigation, page header and footer, aside, forms,
 scripts, styles, hidden parts and elements named as adverts, notices or comments weigh nothing;
 paths inside <article> or <main> weigh double, and a path outside them has to reach half of the
-best one inside. Names are whole tokens of class and id; an element that holds most of the page's
-heaviest path isn't taken out for its name, and headings in an article's <header> stay. An <article> or <main> that holds a chosen path is content as a whole (headings
+best one inside. Names are whole tokens of class and id, or the first or last part of a compound one (comments-area, left-sidebar;
+not no-comments, has-sidebar or post-header); what stands under a heading over readers' comments counts as named so. An element that
+holds most of the page's heaviest path isn't taken out for its name, and headings in an article's <header> stay. An <article> or <main> that holds a chosen path is content as a whole (headings
 and short parts go with it); one that holds none, such as a teaser, isn't.
 
 Text: character references decoded, white space of a block turned into one space and trimmed,
@@ -16,7 +17,7 @@ blocks joined by one line feed.
 
 Nulls: a null page is empty (empty text, 0 characters); null ids and urls are carried. Markup that
 ends early or is never closed is read as far as it goes. Repeated rows are read one by one;
-extra columns are ignored. Pages of any length are read whole.
+extra columns are ignored. Pages of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +51,22 @@ CHROME_NAMES = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond "
     "copyright legal disclaimer widget widgets login signin signup register search pagination pager skip".split()
 )
+#: Parts of a compound name (comments-area, site-footer, leftSidebar): as its first part, as its last one, and first parts that take that back.
+CHROME_FIRST = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
+    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter overlay pager pagination paywall popup promo recommended related "
+    "share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+)
+CHROME_LAST = frozenset(
+    "ad ads advert adverts alert banner breadcrumb breadcrumbs commentlist comments disclaimer footer header menu modal nav navbar navigation newsletter "
+    "notice overlay pagination popup sidebar sidebars toolbar widget widgets".split()
+)
+NOT_CHROME = frozenset("has no not with without is article post entry content story section chapter".split())
+#: Headings over what readers say.
+READERS = re.compile(
+    r"\W*(?:\d+\s+)?(?:comments?|reader comments|user comments|responses?|replies|leave a (?:reply|comment)|join the (?:discussion|conversation)|"
+    r"kommentare?|commentaires?|comentarios?|комментарии|نظرات|تعليقات)\b.{0,20}\Z", re.I
+)
 CONTENT = frozenset({"article", "main"})
 #: An opening of the first kind ends open elements of the second.
 ENDS = {
@@ -68,6 +85,20 @@ INSIDE, OUTSIDE = 2.0, 0.5
 #: Characters of the heaviest path from which an element with a name of CHROME_NAMES can hold it, and what such characters weigh.
 HELD, NAMED = 400, 0.1
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PARTS = re.compile(r"[-_.:]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _says_chrome(names: str) -> bool:
+    """Whether a class or id has a token that is, begins with, or ends with a name of chrome."""
+    for token in names.split():
+        if token.lower() in CHROME_NAMES:
+            return True
+        parts = [x.lower() for x in _PARTS.split(token) if x]
+        if len(parts) > 1 and parts[0] not in NOT_CHROME and (parts[0] in CHROME_FIRST or parts[-1] in CHROME_LAST):
+            return True
+        if len(parts) > 1 and parts[0] in ("post", "article", "entry", "story") and parts[-1] in CHROME_LAST and parts[-1] != "header":
+            return True
+    return False
 
 
 def _is_chrome(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -78,9 +109,10 @@ def _is_chrome(tag: str, attributes: str) -> tuple[bool, bool]:
     if not attributes or tag in ("body", "html"):
         return False, False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not CHROME_NAMES.isdisjoint(value.split()):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id") and _says_chrome(value):
             named = True
+        value = value.lower()
         if name == "role" and value.strip() in CHROME_ROLES:
             return True, named
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -175,9 +207,24 @@ def named_blocks(page: str) -> list[tuple[Block, Named]]:
     return out
 
 
+def under_readers(rows: list[tuple[Block, Named]]) -> list[tuple[Block, Named]]:
+    """What stands under a heading over readers' comments, up to a heading of its rank or the end of the element around it, counts as named so."""
+    for i, ((text, path, chrome, _, opened), _) in enumerate(rows):
+        tags = path.split("/")
+        if chrome or len(text) > 60 or len(tags) < 2 or tags[-1] not in HEADINGS or not READERS.match(text):
+            continue
+        for j in range(i, len(rows)):
+            (block, names), mine = rows[j], rows[j][0][4]
+            last = block[1].split("/")[-1]
+            if opened[-2] not in mine or (j > i and last in HEADINGS and last <= tags[-1]):
+                break
+            rows[j] = block, (*names, -1 - i)
+    return rows
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks, with those in named elements as chrome unless the element holds most of the heaviest path."""
-    rows = named_blocks(page)
+    rows = under_readers(named_blocks(page))
     if not any(named for _, named in rows):
         return [r for r, _ in rows]
     weight, size, held = Counter(), Counter(), {}
