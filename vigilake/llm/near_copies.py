@@ -10,7 +10,7 @@ similarity differ in 2 to 14 of 64 bits, too many for the few wide blocks of ``s
    0.98 for 6, 0.78 for 9, 0.40 for 12. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
    neighbours within ``RADIUS`` bits, of a size that allows the similarity;
 3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars), and nodes go on
-   to propose 8, 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
+   to propose 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
    that a group of copies costs about as many comparisons as it has members;
 4. a node that had more neighbours than it could name and isn't done is looked up again with 8 times as many.
 
@@ -23,11 +23,13 @@ compared in one task with one other. An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
 from vigilake.llm import simhash
@@ -37,6 +39,7 @@ WORDS, SIMILARITY = 5, 0.8
 INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 12, 24, 16, 11
 NEAREST = 16
 HELD = 500_000  # neighbours that a task holds before it keeps the nearest
+BATCH = "4m"
 PIECE = 1 << 20  # bytes of words that are hashed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,7 +234,7 @@ class Components:
     """Components of nodes, as accepted links join them: (id, label) of the nodes that have a link; and all pairs that were compared."""
 
     def __init__(self, spark):
-        self.edges = self.compared = spark.createDataFrame([], "a long, b long")
+        self.compared = spark.createDataFrame([], "a long, b long")
         self.labels = spark.createDataFrame([], "id long, label long")
 
     def add(self, told: DataFrame) -> None:
@@ -240,8 +243,9 @@ class Components:
         links = told.filter(F.col("s") >= SIMILARITY).select("a", "b")
         if links.isEmpty():
             return
-        self.edges = materialize(self.edges.unionAll(links), "near-links")
-        self.labels = simhash.stars(self.edges).select(F.col("a").alias("id"), F.col("root").alias("label"))
+        # what is joined already is a star of each component, so that few rounds are left
+        known = self.labels.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+        self.labels = simhash.stars(known.unionAll(links)).select(F.col("a").alias("id"), F.col("root").alias("label"))
 
     def label(self, rows: DataFrame, column: str, name: str = "label") -> DataFrame:
         mine = self.labels.select(F.col("id").alias(column), F.col("label").alias("_label"))
@@ -267,11 +271,28 @@ def decide(named: DataFrame, texts: DataFrame, parts: Components) -> None:
         told = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         told = materialize(told.select("a", "b", similarity("x", "y").alias("s")), "near-compared")
         parts.add(told)
-        most *= 8
+        most *= 64
+
+
+@contextlib.contextmanager
+def few_bytes_at_once(spark: SparkSession):
+    """Arrow batches of at most ``BATCH`` bytes: rows of pairs hold two texts, and there can be long ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def classes(source: DataFrame) -> DataFrame:
     """doc_id, locator and label of every row of a located table: equal for rows of one component."""
+    with few_bytes_at_once(source.sparkSession):  # all Python work is done in here, as its results are written
+        return _classes(source)
+
+
+def _classes(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
     rows = materialize(prints(source), "near-prints")
     nodes = rows.groupBy("s1", "s2").agg(F.min(F.struct(F.struct(*LOCATOR).alias("place"), "fp", "n")).alias("first"))

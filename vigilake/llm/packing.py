@@ -42,6 +42,8 @@ SLICES, SLICE, RANGES = 8, 1000, 16  # most slices, fewest sequences or document
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Kinds of rows of a round: a gap, open documents, placed documents.
 GAP, OPEN, PLACED = 0, 1, 2
+#: Characters that are encoded at once.
+LOT = 2_000_000
 STATE_NAMES = ["kind", "size", "first", "n", "deep", "sequence", "offset"]
 STATE = ", ".join(f"{k} long" for k in STATE_NAMES)
 
@@ -54,7 +56,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
     def run(batches):
         encoder = encoder_of(definition.value)
-        for keys, texts in over_batches(batches):
+        for keys, texts in over_batches(batches, lot=LOT):
             ids, n = encoder.encode_flat(texts)
             ends = np.cumsum(n)
             raw = memoryview(np.insert(ids, ends, end_id).astype("<u4")).cast("B")
