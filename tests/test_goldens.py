@@ -70,3 +70,13 @@ def test_cache_keeps_labels_of_the_same_photos_only(spark):
     make = lambda rows: spark.createDataFrame(rows, columns).withColumn("scanned_at", F.expr("CAST(concat('2024-01-', scanned_at) AS TIMESTAMP_NTZ)"))
     out = state.prune_cache(state.fold_cache(make(old), make(new)), "2024-01-31 00:00:00", 3, "v3").select("user_id", "fingerprint", "fast", "labels").collect()
     assert sorted(map(tuple, out)) == [(1, "f2", 0.2, None), (2, "f1", 0.3, "old"), (3, "f1", 0.9, "new"), (4, "f9", 0.1, None)]
+
+
+def test_keywords_by_their_patterns(spark):
+    """The patterns tried one by one, with odd letters and none."""
+    words = ["PORN", "pOrnhub", "p0rnſ", "xxx", "nudeſ", "NUDES", "seX-chat", "onlyfanſ", "only fans", "eſcort", "CAMGİRL", "camgırl", "hentaI", "18+ videos", "adult  content", "ADULT CHANNEL", "سکس", "سکککس", "فیلم سوپر", "شماره مجازی سکس", "إباحي", "جنس ساخن", "ПОРНО", "секс чат", "интим услуг", "голых фото", "corn", "", "plain"]
+    rows = [(f"{a} {b}",) for a in words for b in words[::3]] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    each = F.array(*[F.regexp_extract(F.coalesce("t", F.lit("")), text._unicode(p), 0) for p in text.KEYWORDS])
+    out = df.select(text.keywords(F.col("t")).alias("got"), F.slice(F.filter(each, lambda s: s != ""), 1, 3).alias("want")).collect()
+    assert all(r.got == r.want for r in out) and sum(bool(r.got) for r in out) > 200
