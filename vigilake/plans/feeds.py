@@ -7,10 +7,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
-from vigilake.operators import intake, media, policy, position, signals, state, stats
+from vigilake.operators import intake, media, policy, position, profile_cache, rollups, signals, state, stats
 from vigilake.plans.moderation import _ANY, _BIOS, _CONTACT, _DISPLAY, _FIRES, _IMAGE, _LIST, _VOCABULARY
 from vigilake.plans.queries import scratch
-from vigilake.plans.registry import query
+from vigilake.plans.registry import ORACLES, query
 from vigilake.sources import bindings as b
 from vigilake.sources import clips, updates
 from vigilake.streaming import delivery
@@ -220,3 +220,58 @@ def clip_frames(spark, sf):
     rows = made.lateralJoin(clips.frames(F.col("content").outer(), F.lit(clips.MOST)))
     still = F.expr("substring(content, int(offset) + 1, int(size))")
     return rows.select("doc_id", "position", "total", "seconds", "size", F.sha2(still, 256).alias("still"), "is_key", F.col("error").isNotNull().alias("failed"))
+
+
+# ---- profiles, cache first ----------------------------------------------------------------------
+
+
+@query(
+    """, q AS (SELECT d.id, user_id, chat_id, 'p' || user_id % 3 AS fp, threshold / 100 AS th FROM detections d JOIN groups USING (chat_id)), bars AS (SELECT user_id, fp, min(th) AS bar FROM q GROUP BY ALL),
+    c AS (SELECT c_custkey AS user_id, 'p' || c_custkey % 4 AS fp, c_custkey % 10 / 10 AS fast, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 9 / 10 END AS label FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 7 <> 0),
+    m AS (SELECT b.user_id, b.fp, bar, c.fast, label, NOT coalesce(label IS NOT NULL OR c.fast < bar, false) AS miss, CASE WHEN b.user_id % 13 <> 0 THEN b.user_id * 3 % 11 / 10 END AS s FROM bars b LEFT JOIN c ON c.user_id = b.user_id AND c.fp = b.fp),
+    a AS (SELECT user_id, fp, CASE WHEN miss THEN coalesce(s, fast) ELSE fast END AS fast, CASE WHEN NOT miss THEN label WHEN s >= bar AND user_id % 17 <> 0 THEN user_id % 10 / 10 END AS label, miss AND s >= bar AND user_id % 17 <> 0 AS fresh FROM m)
+    SELECT id, CASE WHEN label IS NOT NULL THEN 'verified' WHEN fast < th THEN 'screened' ELSE 'unknown' END AS state, round(CASE WHEN label IS NOT NULL THEN CASE WHEN chat_id % 2 = 0 THEN label WHEN fresh THEN 0.05 ELSE 0 END WHEN fast < th THEN fast END, 6) AS score FROM q JOIN a USING (user_id, fp)""",
+    "detections groups",
+)
+def profile_cache_pass(spark, sf):
+    """X06, ST07, J05, P18, DML10, ML06: evidence for each event's author, from the cache, or scored once and kept."""
+    e = F.expr
+    rows = b.detections(spark, sf).join(b.groups(spark, sf).select("chat_id", "threshold"), "chat_id")
+    requests = rows.select("id", "user_id", e("concat('p', user_id % 3)").alias("fingerprint"), e("threshold / 100.0D").alias("threshold"), e("IF(chat_id % 2 = 0, array('porn'), array('Sexy'))").alias("categories"))
+    label = lambda value, more="": f"array(named_struct('label', 'porn', 'value', {value}){more})"
+    cache = b.read(spark, sf, "customer").filter("c_custkey % 2 = 0").select(
+        F.col("c_custkey").cast("long").alias("user_id"), e("concat('p', c_custkey % 4)").alias("fingerprint"), e("IF(c_custkey % 7 = 0, 'v2', 'v3')").alias("pipeline"), e("c_custkey % 10 / 10.0D").alias("fast"),
+        e("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("scanned_at"), e(f"IF(c_custkey % 5 = 0, {label('c_custkey % 9 / 10.0D')}, NULL)").alias("labels"),
+    )
+    screen = lambda d: d.withColumn("fast", e("IF(user_id % 13 <> 0, user_id * 3 % 11 / 10.0D, NULL)"))
+    second = ", named_struct('label', 'sexy', 'value', 0.05D)"
+    verify = lambda d: d.withColumn("labels", e(f"IF(user_id % 17 <> 0, {label('user_id % 10 / 10.0D', second)}, NULL)"))
+    got, _ = profile_cache.resolve(requests, cache, screen, verify, "v3", F.lit(b.AS_OF), lambda df: _kept(spark, df))
+    return got.select("id", "state", F.round("score", 6).alias("score"))
+
+
+# ---- counters -----------------------------------------------------------------------------------
+
+_NOON = "2024-01-29 12:34:56"  # in the middle of a day
+
+
+def _rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rollups kept in three steps, of which two share a day."""
+    d = b.detections(spark, sf)
+    cuts = ["created_at < TIMESTAMP_NTZ '2024-01-10 07:00:00'", "created_at >= TIMESTAMP_NTZ '2024-01-10 07:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-25 00:00:00'", "created_at >= TIMESTAMP_NTZ '2024-01-25 00:00:00'"]
+    kept = rollups.by_day(d.filter(cuts[0]))
+    for c in cuts[1:]:
+        kept = _kept(spark, rollups.merged(kept, rollups.by_day(d.filter(c))))
+    return kept
+
+
+@query(ORACLES["stats_by_group"].replace(b.AS_OF, _NOON))
+def rolling_counts(spark, sf):
+    """AG01, F39: the counts of stats_by_group, from day rollups."""
+    return rollups.by_group(_rollup(spark, sf), b.detections(spark, sf), _NOON)
+
+
+@query(ORACLES["stats_global"].replace(b.AS_OF, _NOON))
+def rolling_totals(spark, sf):
+    """AG04: from day rollups."""
+    return rollups.overall(_rollup(spark, sf), b.detections(spark, sf), _NOON)
