@@ -38,8 +38,8 @@ from vigilake.llm.common import LOCATOR, located, marked, materialize, of_place,
 WORDS, SIMILARITY = 5, 0.8
 INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 12, 24, 16, 11
 NEAREST = 16
-HELD = 500_000  # neighbours that a task holds before it keeps the nearest
-BATCH = "4m"
+HELD = 200_000  # neighbours that a task holds before it keeps the nearest
+BATCH, PARTITION = 4 << 20, 16 << 20
 PIECE = 1 << 20  # bytes of words that are hashed together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -276,14 +276,19 @@ def decide(named: DataFrame, texts: DataFrame, parts: Components) -> None:
 
 @contextlib.contextmanager
 def few_bytes_at_once(spark: SparkSession):
-    """Arrow batches of at most ``BATCH`` bytes: rows of pairs hold two texts, and there can be long ones."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, BATCH)
+    """Arrow batches of at most ``BATCH`` bytes and shuffled partitions of about ``PARTITION`` bytes, or less where the session says so:
+    rows of pairs hold two texts, there can be long ones, and what is sorted is several times what was shuffled."""
+    most = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.adaptive.advisoryPartitionSizeInBytes": PARTITION}
+    before = {k: spark.conf.get(k, None) for k in most}
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for k, v in most.items():
+        if before[k] is None or not 0 < size(before[k]) <= v:
+            spark.conf.set(k, f"{v}b")
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def classes(source: DataFrame) -> DataFrame:
