@@ -162,15 +162,3 @@ def verify_bar(profile: Column, media: Column, shared: Column) -> Column:
 def bot_verdict(is_self: Column, is_admin: Column, can_restrict: Column) -> Column:
     """P13."""
     return F.when(is_self | is_admin, "leave").when(~can_restrict, "powerless").otherwise("ban")
-
-
-def actions(matched: Column, action: Column, dry_run: Column, has_message: Column, can_delete: Column, can_restrict: Column) -> Column:
-    """SNK04: what a verdict wants and what rights are missing, in the order in which it is done."""
-    live = matched & ~dry_run
-    wants_delete = live & has_message & action.isin("ban", "mute", "delete")
-    wants_ban, wants_mute = live & (action == "ban"), live & (action == "mute")
-    problems = F.array(F.when(wants_delete & ~can_delete, "cannot_delete"), F.when((wants_ban | wants_mute) & ~can_restrict, "cannot_restrict"))
-    return F.struct(
-        (wants_delete & can_delete).alias("delete"), (wants_ban & can_restrict).alias("ban"), (wants_mute & can_restrict).alias("mute"),
-        F.array_join(F.filter(problems, lambda x: x.isNotNull()), ",").alias("problems"),
-    )

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession, functions as F
 
 from vigilake.functions import reports, scores, text
-from vigilake.operators import media, policy, settings, signals, state, stats
+from vigilake.operators import enforcement, media, policy, settings, signals, state, stats, text_pass
 from vigilake.plans.registry import ORACLES, QUERIES, query
 from vigilake.sources import bindings as b
 
@@ -497,7 +497,7 @@ def text_gate(spark, sf):
     """ML11, ML12, D1: short texts aren't asked about, certainties under 0.30 are ordinary."""
     long = F.char_length(text.trim_space(F.col("text"))) >= 8
     certainty = (F.col("conv_id") * 7 + F.col("turn")) % 10 / 10
-    route = F.when(~long, "short").when(certainty < 0.3, "ordinary").otherwise("full")
+    route = text_pass.route(F.col("text"), F.lit(text_pass.GATE_QUESTIONS), certainty)
     return b.read(spark, sf, "conversations").select("conv_id", "turn", long.alias("asked"), route.alias("route"))
 
 
@@ -655,9 +655,10 @@ def membership_arrivals(spark, sf):
     return rows.filter("NOT old_present AND new_present").select("id", "chat_id", "user_id")
 
 
-_ENFORCED = """SELECT id, action, wd AND c AS deleted, wb AND r AS banned, wm AND r AS muted, dry_run, array_to_string(list_filter([CASE WHEN wd AND NOT c THEN 'cannot_delete' END, CASE WHEN (wb OR wm) AND NOT r THEN 'cannot_restrict' END], lambda x: x IS NOT NULL), ',') AS problems
-    FROM (SELECT d.id, action, dry_run, d.id % 5 <> 0 AS c, d.id % 3 <> 0 AS r, score >= 0.2 AND NOT dry_run AND d.id % 4 <> 0 AND action IN ('ban', 'mute', 'delete') AS wd,
-      score >= 0.2 AND NOT dry_run AND action = 'ban' AS wb, score >= 0.2 AND NOT dry_run AND action = 'mute' AS wm FROM detections d JOIN groups USING (chat_id))"""
+_ENFORCED = """SELECT id, action, dry_run, live AND hm AND c AS deleted, live AND action = 'ban' AND r AS banned, live AND action = 'mute' AND r AS muted,
+    array_to_string(list_filter([CASE WHEN live AND hm AND NOT c THEN 'missing_delete_perm' END, CASE WHEN live AND action IN ('ban', 'mute') AND NOT r THEN 'missing_ban_perm' END], lambda x: x IS NOT NULL), ',') AS problems
+    FROM (SELECT d.id, CASE WHEN score >= 0.2 AND NOT dry_run THEN action ELSE 'report' END AS action, dry_run, d.id % 5 <> 0 AS c, d.id % 3 <> 0 AS r, d.id % 4 <> 0 AS hm, score >= 0.2 AND NOT dry_run AND action IN ('ban', 'mute', 'delete') AS live
+      FROM detections d JOIN groups USING (chat_id))"""
 
 
 @query(
@@ -666,11 +667,14 @@ _ENFORCED = """SELECT id, action, wd AND c AS deleted, wb AND r AS banned, wm AN
     "detections groups",
 )
 def enforcement_actions(spark, sf):
+    """SNK04, SNK05: what is done about each event, and the headline that says so."""
     d = b.detections(spark, sf).join(b.groups(spark, sf).select("chat_id", "action", "dry_run"), "chat_id")
-    a = media.actions(F.col("score") >= 0.2, F.col("action"), F.col("dry_run"), F.col("id") % 4 != 0, F.col("id") % 5 != 0, F.col("id") % 3 != 0)
-    d = d.withColumn("a", a)
-    line = reports.headline(F.col("dry_run"), F.col("action"), F.col("a.ban"), F.col("a.mute"), F.col("a.delete"))
-    return d.select("id", F.col("a.delete").alias("deleted"), F.col("a.ban").alias("banned"), F.col("a.mute").alias("muted"), "a.problems", line.alias("headline"))
+    yes = F.lit(True)
+    action = F.when((F.col("score") >= 0.2) & ~F.col("dry_run"), F.col("action")).otherwise("report")
+    done = enforcement.execute(F.col("action"), F.col("id") % 4 != 0, yes, F.col("id") % 5 != 0, F.col("id") % 3 != 0, yes, yes, yes)
+    d = d.withColumn("action", action).withColumn("done", done)
+    line = reports.headline(F.col("dry_run"), F.col("action"), F.col("done.banned"), F.col("done.muted"), F.col("done.deleted"))
+    return d.select("id", "done.deleted", "done.banned", "done.muted", F.array_join("done.problems", ",").alias("problems"), line.alias("headline"))
 
 
 @query(
@@ -691,7 +695,8 @@ def delivery_outcomes(spark, sf):
 @query("SELECT id, created_at + to_seconds(greatest(5, least(86400, id % 100000))) AS delete_at, created_at + INTERVAL 24 HOUR AS mute_until FROM detections", "detections")
 def self_delete_at(spark, sf):
     """SNK08, F40."""
-    return b.detections(spark, sf).select("id", F.expr("created_at + make_dt_interval(0, 0, 0, greatest(5, least(86400, id % 100000)))").alias("delete_at"), F.expr("created_at + INTERVAL 24 HOURS").alias("mute_until"))
+    sent = b.detections(spark, sf).select("id", F.col("created_at").alias("ts"), F.expr("int(id % 100000)").alias("ttl"), F.lit(True).alias("delete_bot_messages"))
+    return enforcement.self_delete(sent).select("id", "delete_at", F.expr(f"ts + INTERVAL {enforcement.MUTE_HOURS} HOURS").alias("mute_until"))
 
 
 # ---- the whole pass ---------------------------------------------------------------------------
@@ -725,4 +730,4 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-from vigilake.plans import moderation, streams, feeds  # noqa: E402, F401  (they register their queries)
+from vigilake.plans import moderation, streams, feeds, judgement  # noqa: E402, F401  (they register their queries)
