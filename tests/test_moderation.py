@@ -114,7 +114,7 @@ def test_greedy_fold_golden(spark):
 def test_empty_tables(spark):
     events = spark.createDataFrame([], "chat_id long, user_id long, event_id long, ts timestamp_ntz")
     assert state.rate_limit(events, "user_id", 2, 60).count() == 0 and state.every_interval(events, ["user_id"], 60).count() == 0
-    assert settings.parse(spark.createDataFrame([], plans._RAW_COLUMNS)).count() == 0
+    assert settings.parse(spark.createDataFrame([], "chat_id long, " + ", ".join(f"{c} string" for c in plans._READ_AS) + ", " + ", ".join(f"{c} int" for c in plans._CLAMPED) + ", " + ", ".join(f"{c} boolean" for c in plans._ON))).count() == 0
 
 
 def test_entry(spark):

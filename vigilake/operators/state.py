@@ -214,28 +214,18 @@ def fold_appeals(events: DataFrame) -> DataFrame:
 
     ``open`` opens one unless one is open; ``approve`` and ``reject`` resolve the open one, if any. One row for each
     appeal: its number, when it was opened and resolved (by seq), status, and requests that met it open.
+    An appeal is a run of openings with the resolutions after it, of which the first counts.
     """
-
-    def make():
-        number, opened, requests = 0, None, 0
-
-        def step(seq, event):
-            nonlocal number, opened, requests
-            if event == "open":
-                if opened is None:
-                    number, opened, requests = number + 1, seq, 0
-                requests += 1
-            elif event in ("approve", "reject") and opened is not None:
-                out = number, opened, seq, "approved" if event == "approve" else "rejected", requests
-                opened = None
-                return out
-            return None
-
-        return step, lambda: None if opened is None else (number, opened, None, "open", requests)
-
     keys = ["chat_id", "user_id"]
-    rows = events.select(*keys, F.col("seq").cast("long").alias("seq"), "event")
-    return fold_in_order(rows, keys, [F.col("seq")], f"{_types(rows, keys)}, number long, opened long, resolved long, status string, requests long", make)
+    w = Window.partitionBy(*keys).orderBy("seq")
+    rows = events.select(*keys, F.col("seq").cast("long").alias("seq"), "event").filter(F.col("event").isin("open", "approve", "reject"))
+    opens = F.col("event") == "open"
+    rows = rows.withColumn("begins", opens & (F.coalesce(F.lag("event").over(w), F.lit("")) != "open"))
+    rows = rows.withColumn("number", F.sum(F.col("begins").cast("long")).over(w)).filter("number > 0")
+    ends = F.when(~opens, F.struct("seq", "event"))
+    out = rows.groupBy(*keys, "number").agg(F.min(F.when(opens, F.col("seq"))).alias("opened"), F.min(ends).alias("end"), F.count_if(opens).alias("requests"))
+    status = F.when(F.col("end").isNull(), "open").when(F.col("end.event") == "approve", "approved").otherwise("rejected")
+    return out.select(*keys, "number", "opened", F.col("end.seq").alias("resolved"), status.alias("status"), "requests")
 
 
 def fold_users(events: DataFrame) -> DataFrame:
@@ -244,32 +234,21 @@ def fold_users(events: DataFrame) -> DataFrame:
     ``touch`` and ``start`` add a user or renew the name; ``start`` also makes the user reachable and sets an unlocked
     language; ``lang`` adds a user or sets and locks the language; ``blocked`` marks one that is there.
     """
-
-    def make():
-        user = None
-
-        def step(seq, event, username, lang):
-            nonlocal user
-            if event == "blocked":
-                if user:
-                    user["blocked"] = True
-                return
-            if user is None:
-                user = {"username": username, "lang": lang, "locked": False, "started": False, "blocked": False, "first": seq, "last": seq}
-            if event == "lang":
-                user["lang"], user["locked"] = lang, True
-                return
-            user["username"], user["last"] = username, seq
-            if event == "start":
-                user["started"], user["blocked"] = True, False
-                if not user["locked"]:
-                    user["lang"] = lang
-
-        return step, lambda: None if user is None else tuple(user.values())
-
-    rows = events.select("user_id", F.col("seq").cast("long").alias("seq"), "event", "username", "lang")
-    schema = "user_id long, username string, lang string, lang_locked boolean, started_bot boolean, is_blocked boolean, first_seq long, last_seq long"
-    return fold_in_order(rows, ["user_id"], [F.col("seq")], schema, make)
+    seq = F.col("seq").cast("long")
+    of = lambda *names: F.col("event").isin(*names)
+    row = F.struct(seq.alias("seq"), "username", "lang")
+    latest_of = lambda *names: F.max(F.when(of(*names), row))
+    u = events.groupBy("user_id").agg(
+        F.min(F.when(of("touch", "start", "lang"), row)).alias("first"), latest_of("touch", "start").alias("named"), latest_of("lang").alias("told"),
+        latest_of("start").alias("started"), F.max(F.when(of("blocked"), seq)).alias("blocked"),
+    ).filter("first IS NOT NULL")
+    last_word = lambda c: F.when(F.col("told").isNotNull(), F.col(f"told.{c}")).when(F.col("started").isNotNull(), F.col(f"started.{c}")).otherwise(F.col(f"first.{c}"))
+    return u.select(
+        "user_id", F.when(F.col("named").isNotNull(), F.col("named.username")).otherwise(F.col("first.username")).alias("username"), last_word("lang").alias("lang"),
+        F.col("told").isNotNull().alias("lang_locked"), F.col("started").isNotNull().alias("started_bot"),
+        F.coalesce((F.col("blocked") > F.col("first.seq")) & (F.col("blocked") > F.coalesce("started.seq", "first.seq")), F.lit(False)).alias("is_blocked"),
+        F.col("first.seq").alias("first_seq"), F.coalesce("named.seq", "first.seq").alias("last_seq"),
+    )
 
 
 def toggled(presses: DataFrame, keys: list[str]) -> DataFrame:
@@ -326,25 +305,15 @@ def cached_answers(requests: DataFrame, keys: list[str], seconds: int) -> DataFr
 
 
 def take_once(commands: DataFrame, seconds: int = 600) -> DataFrame:
-    """ST08, DML17: (admin_id, ts_us, command, body): ``compose`` keeps a draft, ``confirm`` within ``seconds`` takes it, ``cancel`` drops it."""
+    """ST08, DML17: (admin_id, ts_us, command, body): ``compose`` keeps a draft, ``confirm`` within ``seconds`` takes it, any other drops it.
 
-    def make():
-        draft = None
-
-        def step(t, command, body):
-            nonlocal draft
-            if command == "compose":
-                draft = (t, body)
-                return None
-            taken, draft = draft, None
-            if command == "confirm" and taken and t - taken[0] < seconds * 1_000_000:
-                return t, taken[1]
-            return None
-
-        return step, _nothing
-
-    rows = commands.select("admin_id", "ts_us", "command", "body")
-    return fold_in_order(rows, ["admin_id"], [F.col("ts_us"), F.col("command"), F.col("body")], f"{_types(rows, ['admin_id'])}, ts_us long, body string", make)
+    So a draft is taken by the admin's next command or not at all. Commands are in order of time, command and body.
+    """
+    w = Window.partitionBy("admin_id").orderBy("ts_us", "command", "body")
+    before = F.lag(F.struct("ts_us", "command", "body")).over(w)
+    rows = commands.select("admin_id", "ts_us", "command", "body").withColumn("before", before)
+    taken = (F.col("command") == "confirm") & (F.col("before.command") == "compose") & (F.col("ts_us") - F.col("before.ts_us") < seconds * 1_000_000)
+    return rows.filter(taken).select("admin_id", "ts_us", F.col("before.body").alias("body"))
 
 
 def with_cache(events: DataFrame, cache: DataFrame, fingerprint: Column, pipeline: str) -> DataFrame:
