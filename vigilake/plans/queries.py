@@ -702,23 +702,44 @@ def self_delete_at(spark, sf):
 # ---- the whole pass ---------------------------------------------------------------------------
 
 
-@query()
+_CONTEXTS = """(SELECT conv_id, turn, chat_id, coalesce(threshold, 40) AS threshold, coalesce(policy, 'nsfw_and_contact') AS policy, coalesce(action, 'ban') AS action, coalesce(dry_run, false) AS dry_run,
+    CASE WHEN turn % 2 = 0 THEN concat_ws(' ', url, text) ELSE text END AS t, CASE WHEN conv_id % 13 <> 0 THEN conv_id % 10 END AS own, CASE WHEN (conv_id + turn) % 4 = 1 THEN (conv_id + turn) % 11 END AS medium, ['visible', 'absent', 'unknown'][CAST((conv_id + turn) % 3 AS INT) + 1] AS photos
+    FROM (SELECT *, conv_id % 30 AS chat_id FROM conversations) c LEFT JOIN groups USING (chat_id) LEFT JOIN (SELECT page_id % 101 AS page, min(url) AS url FROM pages GROUP BY ALL) p ON c.conv_id % 101 = p.page)"""
+_LINKED = f"coalesce(len({_INVITES}) + len({_MENTIONS}) + len(list_filter(regexp_extract_all(t, '{_URL}'), lambda u: len(list_filter({_INVITES}, lambda i: contains(u, i) OR contains(i, u))) = 0)) > 0, false)"
+_WORDED = " OR ".join(f"regexp_matches(concat_ws(' ', 'user ' || conv_id, t), '{p}')" for p in text.KEYWORDS)
+_PASS_FIRES = {
+    "bio_keywords": "worded", "bio_link": "linked", "bio_semantic": "turn % 10 >= 7", "message_media": "medium * 10 >= threshold", "no_photo_link": "linked AND photos = 'absent'",
+    "profile_channel": "conv_id % 3 = 0", "profile_nsfw": "own * 10 >= threshold", "profile_ocr": "conv_id % 8 = 0", "reputation": "conv_id % 5 = 4",
+}
+_PASS_T = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _PASS_FIRES.items()) + "], lambda x: x IS NOT NULL)"
+_PASS_MATCH = _MATCH.replace("list_contains(t, 'name_pattern')", "list_contains(t, 'profile_nsfw')")
+_PASS_READS = _READS.replace("ELSE ['bio_link', 'name_pattern', 'reputation']", "ELSE ['bio_link', 'profile_nsfw', 'reputation']")
+
+
+@query(
+    f"""SELECT chat_id, conv_id, turn, array_to_string(t, ',') AS triggered, matched, CASE WHEN matched AND NOT dry_run THEN action ELSE 'report' END AS action, CASE WHEN matched THEN greatest(coalesce(own, 0), coalesce(medium, 0)) / 10 ELSE 0 END::DOUBLE AS score,
+    CASE WHEN matched THEN array_to_string(list_filter(t, lambda r: list_contains({_PASS_READS}, r)), ',') ELSE '' END AS reasons
+    FROM (SELECT *, {_PASS_MATCH} AS matched FROM (SELECT *, {_HAS(policy.IMAGE)} AS image, {_HAS(policy.CONTACT)} AS contact, {_HAS(policy.VOCABULARY)} AS words FROM (SELECT * EXCLUDE (t), {_PASS_T} AS t FROM (SELECT *, {_LINKED} AS linked, {_WORDED} AS worded FROM {_CONTEXTS}))))""",
+    "groups",
+)
 def moderation_pass(spark, sf):
-    """Each conversation turn as a message of a profile: context, signals, policy of its group, verdict."""
-    turns = b.read(spark, sf, "conversations").select((F.col("conv_id") % 25).alias("chat_id"), "conv_id", "turn", F.col("text").alias("bio"))
-    pages = b.read(spark, sf, "pages").groupBy((F.col("page_id") % 101).alias("page")).agg(F.min("url").alias("url"))
-    rows = turns.join(pages, turns.conv_id % 101 == pages.page, "left").join(b.groups(spark, sf), "chat_id")
-    context = rows.withColumns(
-        {
-            "display_name": F.concat(F.lit("user "), "conv_id"), "username": F.lit(None).cast("string"), "bio": F.when(F.col("turn") % 2 == 0, F.concat_ws(" ", "url", "bio")).otherwise(F.col("bio")),
-            "channel_state": F.expr("CASE conv_id % 3 WHEN 0 THEN 'linked' WHEN 1 THEN 'absent' ELSE 'unknown' END"), "channel_username": F.lit(None).cast("string"), "channel_title": F.lit("news"),
-            "photos": F.lit("visible"), "profile_nsfw": F.expr("(conv_id % 10) / 10.0D"), "message_nsfw": F.lit(None).cast("double"), "avatar_text": F.lit(None).cast("string"),
-            "profile_ad": F.expr("(turn % 10) / 10.0D"), "other_group_bans": F.expr("conv_id % 5"), "global_blocklist": F.lit(True), "reputation_min_bans": F.lit(4),
-        }
-    )
+    """Each conversation turn as a message of a profile: settings of its group or the defaults, context, signals, policy, verdict."""
+    e, c = F.expr, F.col
+    turns = b.read(spark, sf, "conversations").select((c("conv_id") % 30).alias("chat_id"), "conv_id", "turn", c("text").alias("bio"))
+    pages = b.read(spark, sf, "pages").groupBy((c("page_id") % 101).alias("page")).agg(F.min("url").alias("url"))
+    rows = turns.join(pages, turns.conv_id % 101 == pages.page, "left")
+    rows = settings.attach(rows, b.groups(spark, sf).select("chat_id", "threshold", "policy", "action", "dry_run"), {"threshold": 40, "policy": "nsfw_and_contact", "action": "ban", "dry_run": False})
+    context = rows.withColumns({
+        "display_name": F.concat(F.lit("user "), "conv_id"), "username": F.lit(None).cast("string"), "bio": F.when(c("turn") % 2 == 0, F.concat_ws(" ", "url", "bio")).otherwise(c("bio")),
+        "channel_state": e("CASE conv_id % 3 WHEN 0 THEN 'linked' WHEN 1 THEN 'absent' ELSE 'unknown' END"), "channel_username": F.lit(None).cast("string"), "channel_title": F.lit("news"),
+        "photos": e("element_at(array('visible', 'absent', 'unknown'), int((conv_id + turn) % 3) + 1)"), "profile_nsfw": e("IF(conv_id % 13 <> 0, conv_id % 10 / 10.0D, NULL)"),
+        "message_nsfw": e("IF((conv_id + turn) % 4 = 1, (conv_id + turn) % 11 / 10.0D, NULL)"), "avatar_text": e("CASE conv_id % 8 WHEN 0 THEN '@spam_me' WHEN 1 THEN 'hello' END"),
+        "profile_ad": e("(turn % 10) / 10.0D"), "other_group_bans": e("conv_id % 5"), "global_blocklist": F.lit(True), "reputation_min_bans": F.lit(4),
+    })
     s = signals.with_signals(context).withColumn("triggered", signals.triggered_ids())
-    v = policy.verdict(F.col("triggered"), policy.headline_score(F.col("signals.profile_nsfw.score"), F.col("signals.message_media.score")), F.col("policy"), F.col("action"), F.array(F.lit("bio_link"), F.lit("profile_nsfw")), F.col("dry_run"))
-    return s.withColumn("v", v).select(*_flat(F.col("v"), "chat_id", "conv_id", "turn"), F.array_join("triggered", ",").alias("triggered"))
+    score = policy.headline_score(c("signals.profile_nsfw.score"), c("signals.message_media.score"))
+    v = policy.verdict(c("triggered"), score, c("policy"), c("action"), F.array(F.lit("bio_link"), F.lit("profile_nsfw")), c("dry_run"))
+    return s.withColumn("v", v).select(*_flat(c("v"), "chat_id", "conv_id", "turn"), F.array_join("triggered", ",").alias("triggered"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
