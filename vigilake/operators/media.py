@@ -142,16 +142,31 @@ def worst_image(images: DataFrame, group_score: Column) -> DataFrame:
     return best.select("media_id", "chat_id", "fast", "images", F.col("best.image_id").alias("image_id"), F.col("best.group_score").alias("score"))
 
 
-def cascade(images: DataFrame, bar: Column, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def cascade(images: DataFrame, bar: Column, verify: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """ML06, O3: media none of whose images reach the bar are screened; all images of the others are verified.
 
-    The split is made before ``verify``, so the costly stage sees flagged media only.
+    The split is made before ``verify``, so the costly stage sees flagged media only. Without a verifier, or where it has no answer,
+    a flagged medium's score is null: unknown, neither clean nor a match.
     """
     keys = ["media_id", "chat_id"]
     flagged = images.withColumn("bar", bar).groupBy(*keys).agg(F.max("fast").alias("top"), F.first("bar").alias("bar"))
     over = flagged.filter(F.col("top") >= F.col("bar")).select(*keys)
     screened = flagged.filter(F.col("top") < F.col("bar")).select(*keys, F.col("top").alias("score"), F.lit(False).alias("verified"))
-    return screened.unionByName(verify(images.join(over, keys, "left_semi")).select(*keys, "score", F.lit(True).alias("verified")))
+    if verify is None:
+        return screened.unionByName(over.select(*keys, F.lit(None).cast("double").alias("score"), F.lit(False).alias("verified")))
+    told = verify(images.join(over, keys, "left_semi")).select(*keys, "score")
+    return screened.unionByName(over.join(told, keys, "left").select(*keys, "score", F.col("score").isNotNull().alias("verified")))
+
+
+def clip_scores(frames: DataFrame, stills: DataFrame, group_score: Column) -> DataFrame:
+    """ML08: score of each medium by the worst of its frames; one of which no frame could be had or scored goes by its still (media_id, fast, labels, error).
+
+    A still names no frame. A medium without either has no row.
+    """
+    best = worst_frame(frames, group_score)
+    none = F.lit(None).cast("int")
+    rest = without_errors(stills).join(best.select("media_id"), "media_id", "left_anti")
+    return best.unionByName(rest.select("media_id", "fast", group_score.alias("score"), "labels", none.alias("frame"), none.alias("of")))
 
 
 def verify_bar(profile: Column, media: Column, shared: Column) -> Column:

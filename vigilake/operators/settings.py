@@ -156,10 +156,18 @@ def fold_changes(groups: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def fold_sightings(groups: DataFrame, sightings: DataFrame) -> DataFrame:
-    """DML01: groups that were seen: new ones with the defaults, known ones active again, with the last title that wasn't null."""
-    seen = sightings.groupBy("chat_id").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("seen_title"), F.lit(True).alias("seen"))
-    both = groups.join(seen, "chat_id", "full_outer")
+    """DML01: groups that were seen: new ones with the defaults, known ones active again, with the last title that wasn't null.
+
+    A new group's language is the one detected when it was first seen (column ``detected`` of the sightings, else the script of that title).
+    """
+    first = F.col("detected") if "detected" in sightings.columns else text.detect_language(F.col("title"))
+    seen = sightings.withColumn("_lang", first).groupBy("chat_id").agg(
+        F.max_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("seen_title"), F.min_by("_lang", "seq").alias("seen_lang"), F.lit(True).alias("seen")
+    )
+    both = groups.withColumn("_known", F.lit(True)).join(seen, "chat_id", "full_outer")
     fill = {k: F.coalesce(F.col(k), F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)).cast("array<string>")) for k, v in DEFAULTS.items() if k in groups.columns}
+    if "lang" in groups.columns:
+        fill["lang"] = F.when(F.col("_known"), fill["lang"]).otherwise(F.coalesce("seen_lang", F.lit(DEFAULTS["lang"])))
     changed = {"title": F.coalesce("seen_title", "title"), "is_active": F.coalesce("seen", "is_active")}
     return both.withColumns(fill | changed).select(*groups.columns)
 

@@ -96,3 +96,30 @@ def named_things(spark, sf):
         "doc_id", text_pass.topic_detail(topic).alias("detail"), text.channel_label(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 1, F.col("source"))).alias("label"),
         text.display_name(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("name"),
     )
+
+
+@query(
+    """SELECT media_id, chat_id, CASE WHEN top < 0.6 THEN round(top, 6) END AS score, false AS verified FROM (SELECT media_id, chat_id, max(fast) AS top FROM image_scores GROUP BY ALL)""",
+    "image_scores",
+)
+def cascade_without_verifier(spark, sf):
+    """ML06: what is flagged and can't be verified is unknown."""
+    return media.cascade(b.image_scores(spark, sf), F.lit(0.6), None).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """SELECT media_id, round(score, 6) AS score, frame, n AS of FROM (SELECT media_id, max(s) AS score, CASE WHEN count(*) > 1 THEN arg_max(k, (s, -k)) END::INT AS frame, CASE WHEN count(*) > 1 THEN count(*) END::INT AS n
+      FROM (SELECT media_id, image_id % 10 AS k, p[2] + p[4] AS s FROM image_labels WHERE media_id % 4 <> 0 AND image_id % 7 <> 0 AND image_id % 10 < 5) GROUP BY media_id
+    UNION ALL SELECT media_id, p[2] + p[4], NULL, NULL FROM image_labels WHERE media_id % 4 = 0 AND image_id % 10 = 9 AND image_id % 11 <> 0)""",
+    "image_labels",
+)
+def clip_scores(spark, sf):
+    """ML08, X10: five frames of each medium; every fourth medium can't be sampled and goes by its still, if that can be scored."""
+    from vigilake.functions import scores
+
+    i = F.col("image_id")
+    images = media.labelled(b.image_scores(spark, sf), b.LABELS)
+    frames = images.filter((F.col("media_id") % 4 != 0) & (i % 10 < 5)).withColumns({"position": i % 10, "error": F.when(i % 7 == 0, "undecodable")})
+    stills = images.filter(i % 10 == 9).filter("media_id % 4 = 0").withColumn("error", F.when(i % 11 == 0, "undecodable"))
+    own = scores.category_score(F.col("labels"), F.array(*map(F.lit, b.VERIFIER_BASE)))
+    return media.clip_scores(frames, stills, own).select("media_id", F.round("score", 6).alias("score"), "frame", "of")

@@ -157,15 +157,17 @@ def settings_changes(spark, sf):
 
 
 @query(
-    """SELECT chat_id, coalesce(seen, title) AS title, CASE WHEN any_seen THEN true ELSE is_active END AS is_active, threshold, policy FROM (
-    SELECT coalesce(g.chat_id, s.chat_id) AS chat_id, title, seen, coalesce(any_seen, false) AS any_seen, is_active, coalesce(threshold, 40) AS threshold, coalesce(policy, 'nsfw_and_contact') AS policy
-    FROM (SELECT * FROM groups WHERE chat_id < 20) g FULL JOIN (SELECT chat_id, true AS any_seen, arg_max(t, id) FILTER (WHERE t IS NOT NULL) AS seen FROM (SELECT chat_id, id, CASE WHEN id % 3 = 0 AND chat_id % 2 = 0 THEN 't' || id END AS t FROM detections WHERE chat_id % 4 <> 1) GROUP BY chat_id) s ON g.chat_id = s.chat_id)""",
+    """SELECT chat_id, coalesce(seen, title) AS title, CASE WHEN any_seen THEN true ELSE is_active END AS is_active, threshold, policy, CASE WHEN known THEN 'ru' ELSE l END AS lang FROM (
+    SELECT coalesce(g.chat_id, s.chat_id) AS chat_id, title, seen, l, g.chat_id IS NOT NULL AS known, coalesce(any_seen, false) AS any_seen, is_active, coalesce(threshold, 40) AS threshold, coalesce(policy, 'nsfw_and_contact') AS policy
+    FROM (SELECT * FROM groups WHERE chat_id < 20) g FULL JOIN (SELECT chat_id, true AS any_seen, arg_max(t, id) FILTER (WHERE t IS NOT NULL) AS seen, arg_min(CASE WHEN t LIKE 'چت%' THEN 'fa' ELSE 'en' END, id) AS l
+      FROM (SELECT chat_id, id, CASE WHEN chat_id = 24 OR id % 3 = 0 AND chat_id % 2 = 0 THEN CASE WHEN chat_id % 4 = 0 THEN 'چت' ELSE 't' END || id END AS t FROM detections WHERE chat_id % 4 <> 1) GROUP BY chat_id) s ON g.chat_id = s.chat_id)""",
     "detections groups",
 )
 def group_sightings(spark, sf):
-    """DML01: chats from 20 on are new."""
-    old = b.groups(spark, sf).filter("chat_id < 20").select("chat_id", "title", "is_active", "threshold", "policy")
-    seen = b.detections(spark, sf).filter("chat_id % 4 <> 1").selectExpr("chat_id", "id AS seq", "CASE WHEN id % 3 = 0 AND chat_id % 2 = 0 THEN 't' || id END AS title")
+    """DML01: chats from 20 on are new; their language is that of the title they were first seen with."""
+    old = b.groups(spark, sf).filter("chat_id < 20").select("chat_id", "title", "is_active", "threshold", "policy", F.lit("ru").alias("lang"))
+    title = "CASE WHEN chat_id = 24 OR id % 3 = 0 AND chat_id % 2 = 0 THEN concat(IF(chat_id % 4 = 0, 'چت', 't'), id) END AS title"
+    seen = b.detections(spark, sf).filter("chat_id % 4 <> 1").selectExpr("chat_id", "id AS seq", title)
     return settings.fold_sightings(old, seen)
 
 
