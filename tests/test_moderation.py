@@ -123,3 +123,12 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and set(df.columns) >= {"matched", "action", "reasons"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_detection_ids_follow_from_their_keys(spark):
+    from vigilake.operators import enforcement
+
+    keys = [(1, 2, None), (1, None, 2), (None, 1, 2), (12, 3, 4), (1, 23, 4), (1, 2, 34), (1, 2, 3)]
+    df = spark.createDataFrame(keys * 2, "a long, b long, c long")
+    ids = [r[0] for r in df.select(enforcement.detection_id(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert len(set(ids)) == len(keys) and ids[: len(keys)] == ids[len(keys) :] and all(len(x) == 32 for x in ids)

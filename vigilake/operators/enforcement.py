@@ -29,8 +29,8 @@ def execute(action: Column, has_message: Column, is_admin: Column, can_delete: C
 
 
 def detection_id(*keys: Column) -> Column:
-    """SNK01: an id that follows from the row's keys, so that a repeated job gives the same."""
-    return F.abs(F.xxhash64(*keys))
+    """SNK01: an id of 128 bits that follows from the row's keys, so that a repeated job gives the same; rows of equal keys are one detection."""
+    return F.md5(F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])))
 
 
 def detections(verdicts: DataFrame) -> DataFrame:

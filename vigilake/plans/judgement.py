@@ -123,3 +123,21 @@ def clip_scores(spark, sf):
     stills = images.filter(i % 10 == 9).filter("media_id % 4 = 0").withColumn("error", F.when(i % 11 == 0, "undecodable"))
     own = scores.category_score(F.col("labels"), F.array(*map(F.lit, b.VERIFIER_BASE)))
     return media.clip_scores(frames, stills, own).select("media_id", F.round("score", 6).alias("score"), "frame", "of")
+
+
+@query(
+    """, u AS (SELECT count(*) FILTER (WHERE started_bot) AS started, count(*) FILTER (WHERE started_bot AND NOT is_blocked) AS reachable FROM users), g AS (SELECT count(*) AS groups, count(*) FILTER (WHERE is_active) AS active_groups, coalesce(sum(member_count) FILTER (WHERE is_active), 0)::BIGINT AS members FROM groups),
+    d AS (SELECT count(*) AS detected_all, count(*) FILTER (WHERE banned) AS banned_all FROM detections), t AS (SELECT chat_id, title, count(*) AS hits FROM detections JOIN groups USING (chat_id) WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY ALL ORDER BY hits DESC, chat_id LIMIT 5)
+    SELECT u.*, g.*, d.*, (SELECT string_agg(title || ' ' || hits, ', ' ORDER BY hits DESC, chat_id) FROM t) AS top FROM u, g, d""",
+    "users groups detections",
+)
+def info_report(spark, sf):
+    """CT08: reach, totals and the top groups, in one row."""
+    from vigilake.operators import stats
+
+    d, g = b.detections(spark, sf), b.groups(spark, sf)
+    top = stats.top_groups(g, d, b.AS_OF)  # five rows
+    line = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("k"), "chat_id", F.concat_ws(" ", "title", "hits").alias("said")))).alias("t"))
+    line = line.select(F.array_join(F.transform("t", lambda x: x["said"]), ", ").alias("top"))
+    totals = stats.overall(d, b.AS_OF).select("detected_all", "banned_all")
+    return stats.reach(b.users(spark, sf), g).crossJoin(totals).crossJoin(line)  # one row each
