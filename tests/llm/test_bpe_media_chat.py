@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import statistics
 import zlib
 
 import numpy as np
@@ -187,3 +188,27 @@ def test_chat_nulls_ties_and_extra_columns(spark):
     assert chat.turns_of(out[1].formatted) == [("", ""), ("assistant", "a"), ("assistant", "b"), ("assistant", "b")]
     assert chat.turns_of(out[None].formatted) == [("user", "a")]
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_very_long_texts(spark):
+    text = "a<|im_end|>\n<%|<|x|> é " * 40_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text + "\n"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(df)
+    assert chat.turns_of(formatted.first().formatted) == [("user", text), ("assistant", text + "\n"), ("assistant", "")]
+    row = chat.read_back(formatted).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (3, len(text) + 1, hashlib.sha256((text + "\n").encode()).hexdigest())
+
+
+def test_media_features_by_hand(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in media.read_back(media.media_column(df)).collect():
+        payload, _ = media.payload_of(texts[r.doc_id])
+        stored = media.write_mkv(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        said = dict(x.split("=") for x in r.feature.split(";")[1:])
+        steps = [abs(a - b) for a, b in zip(payload, payload[1:])]  # noqa: B905
+        want = {"mean": sum(payload) / len(payload), "std": statistics.pstdev(payload), "step": sum(steps) / len(steps), "ms": len(payload) * 1000 // media.RATE}
+        assert all(abs(float(said[k]) - v) < 1e-3 for k, v in want.items()), (said, want)
+        assert int(said["packets"]) == len(media.packets(stored)[0]) and int(said["cues"]) == len(media.packets(stored)[1])
+

@@ -9,7 +9,8 @@ away, so any text survives. Roles also percent-encode ``%``, ``<`` and line brea
 
 Nulls: a null text is empty, a null role is empty, a null turn comes first, rows with a null
 conv_id form one conversation of their own. Ties of turn are ordered by role and text, repeated
-rows stay. Extra columns are ignored. An empty table gives no rows.
+rows stay. Extra columns are ignored. Texts of any length are used whole; a conversation is rendered and parsed in one task.
+The query's conversation -1 takes in rows of the table that have that number. An empty table gives no rows (the query: that conversation).
 """
 
 from __future__ import annotations
