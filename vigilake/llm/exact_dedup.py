@@ -43,7 +43,7 @@ def fold(index: DataFrame, path: str, checkpoint: str) -> DataFrame:
     options = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space in advance
     }

@@ -7,7 +7,7 @@ similarity differ in 2 to 14 of 64 bits, too many for the few wide blocks of ``s
    fingerprints differ less between near copies);
 2. each node is dealt into ``TABLES`` tables by ``BITS`` sampled bits of the fingerprint. Two fingerprints that differ in d bits
    share a group of one table at least with probability 1 - (1 - C(64-d, BITS) / C(64, BITS)) ** TABLES: over 0.999 for 3 bits,
-   0.98 for 6, 0.78 for 9, 0.40 for 12. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
+   0.98 for 6, 0.78 for 9. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
    neighbours within ``RADIUS`` bits, of a size that allows the similarity;
 3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars), and nodes go on
    to propose 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
@@ -36,8 +36,8 @@ from vigilake.llm import simhash
 from vigilake.llm.common import LOCATOR, located, marked, materialize, of_place, set_aside, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
-INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 12, 24, 16, 11
-NEAREST = 16
+INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 10, 24, 16, 11
+NEAREST = 2
 HELD = 200_000  # neighbours that a task holds before it keeps the nearest
 BATCH, PARTITION = 4 << 20, 16 << 20
 PIECE = 1 << 20  # bytes of words that are hashed together
