@@ -141,3 +141,29 @@ def info_report(spark, sf):
     line = line.select(F.array_join(F.transform("t", lambda x: x["said"]), ", ").alias("top"))
     totals = stats.overall(d, b.AS_OF).select("detected_all", "banned_all")
     return stats.reach(b.users(spark, sf), g).crossJoin(totals).crossJoin(line)  # one row each
+
+
+class LengthModel:
+    """A stand-in for an image model: shares follow from the number of bytes; some images can't be read, and one bad image fails its whole call."""
+
+    labels = ["porn", "hentai", "neutral"]
+    explicit = ["Porn", "hentai"]
+
+    def score(self, images):
+        if any(len(x) % 7 == 0 for x in images):
+            raise ValueError("undecodable")
+        shares = [(len(x) % 11 / 20, len(x) % 5 / 20) for x in images]
+        return [{"porn": p, "hentai": h, "neutral": 1 - p - h} for p, h in shares]
+
+
+@query(
+    """SELECT doc_id AS image_id, CASE WHEN n % 7 <> 0 THEN round(n % 11 / 20 + n % 5 / 20, 6) END AS fast, CASE WHEN n % 7 <> 0 THEN round(1 - n % 11 / 20 - n % 5 / 20, 6) END AS neutral, CASE WHEN n IS NULL THEN 'no image' WHEN n % 7 = 0 THEN 'undecodable' END AS error
+    FROM (SELECT doc_id, strlen(text) AS n FROM documents)"""
+)
+def model_scores(spark, sf):
+    """2.13, ML02, ML04: every document's bytes as an image, through the place for models."""
+    from vigilake.operators import models
+
+    images = b.read(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("content"))
+    neutral = F.element_at(F.map_from_entries("labels"), "neutral")
+    return models.scored(images, LengthModel).select("image_id", F.round("fast", 6).alias("fast"), F.round(neutral, 6).alias("neutral"), "error")
