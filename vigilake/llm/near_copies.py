@@ -9,10 +9,10 @@ similarity differ in 2 to 14 of 64 bits, too many for the few wide blocks of ``s
    share a group of one table at least with probability 1 - (1 - C(64-d, BITS) / C(64, BITS)) ** TABLES: over 0.999 for 3 bits,
    0.98 for 6, 0.78 for 9. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
    neighbours within ``RADIUS`` bits, of a size that allows the similarity;
-3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars), and nodes go on
-   to propose 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
+3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars); the nodes that had
+   neighbours are looked up again and propose the nearest, then 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
    that a group of copies costs about as many comparisons as it has members;
-4. a node that had more neighbours than it could name and isn't done is looked up again with 8 times as many.
+4. a node that had more neighbours than it could name and isn't done is looked up again with 32 times as many.
 
 So every candidate pair of different components is decided, and none is dropped. Recall is that of the tables.
 
@@ -258,11 +258,14 @@ class Components:
         return keyed.join(self.compared.toDF("_a", "_b"), ["_a", "_b"], "left_anti").select(*pairs.columns)
 
 
-def decide(named: DataFrame, texts: DataFrame, parts: Components) -> None:
-    """Compare what nodes named, nearest first, and join the components of those alike, until no pair is left across components."""
+def decide(named: DataFrame, texts: DataFrame, parts: Components, once: bool = False) -> None:
+    """Compare what nodes named, nearest first, and join the components of those alike, until no pair is left across components.
+
+    ``once``: only the nearest of each node, when nothing is joined yet; the nodes are asked again afterwards.
+    """
     left, most = named, 1
     while True:
-        left = materialize(parts.across(left), "near-open")
+        left = left if once else materialize(parts.across(left), "near-open")
         if left.isEmpty():
             return
         first = left.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))  # TABLES * k at most
@@ -271,6 +274,8 @@ def decide(named: DataFrame, texts: DataFrame, parts: Components) -> None:
         told = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         told = materialize(told.select("a", "b", similarity("x", "y").alias("s")), "near-compared")
         parts.add(told)
+        if once:
+            return
         most *= 64
 
 
@@ -313,9 +318,10 @@ def _classes(source: DataFrame) -> DataFrame:
         places = materialize(nodes.join(known, "id", "left_semi").select("id", "place"), "near-places")
         texts = source.select(F.struct(*LOCATOR).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
         texts = marked(texts, places, places.count(), of_place()).filter("listed").join(places, "place").select("id", "text")
-        decide(named.select("a", "b", "d"), materialize(texts, "near-texts"), parts)
-        again = materialize(named.filter("many").select(F.col("a").alias("id")).distinct(), "near-again")
-        k *= 8
+        decide(named.select("a", "b", "d"), materialize(texts, "near-texts"), parts, once=again is None)
+        unfinished = named if again is None else named.filter("many")
+        again = materialize(unfinished.select(F.col("a").alias("id")).distinct(), "near-again")
+        k *= 32
         # nodes of one label name none, so that those that had many are looked up until no other label is near
         if again.isEmpty():
             break
