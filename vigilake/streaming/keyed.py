@@ -6,7 +6,9 @@ results are those of the batch form over all rows that weren't later than that.
 left out by Spark and counted in the query's progress (numRowsDroppedByWatermark).
 
 A micro-batch touches the keys that it brings rows or timers for, and no others. A fold's state goes when its life time
-is over. Restarts go on from the checkpoint. The streams here end with ``close``: a row far in the future that
+is over. Restarts go on from the checkpoint. Each touched key costs some ten calls to the state server; a stream whose batches bring rows of
+many keys, or many rows of a key, deals its keys to ``lots`` instead (``InLots``): a lot's rows and states lie in the state store as blocks of columns,
+so that calls grow with the lots, and a batch reads and writes the states of the lots that it touches. The streams here end with ``close``: a row far in the future that
 lets the watermark pass everything that still waits, which a stream that goes on never needs.
 """
 
@@ -15,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +27,8 @@ from vigilake.operators.state import limiter
 
 #: Key and time of the row that closes a stream: no chat or user has that id, and pandas knows no much later time.
 END, END_US = -(1 << 63), 9_200_000_000_000_000
+#: Lots that the registered streams deal their keys to, and rows of a block. A lot is in one task at a time; their number can't change on a checkpoint.
+LOTS, BLOCK = 256, 65_536
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -128,6 +134,146 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class InLots(StatefulProcessor):
+    """The same folds for lots of keys: rows of a lot wait as Arrow blocks, and are folded in order of (ts_us, event_id) when the watermark has passed them."""
+
+    def __init__(self, fold: KeyedFold):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        arrow = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+        keys = ", ".join(f"{k} {fold.key_types.get(k, 'long')}" for k in fold.keys)
+        self.fold = fold
+        self.row, self.state = arrow(f"{keys}, {fold.row_type}"), arrow(f"{keys}, {fold.state_type}")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "n long", "block binary")
+        self.kept = handle.getMapState("kept", "n long", "block binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first, new, size = None, [], 0
+        at = self._next(self.waiting)
+        for frame in rows:
+            columns = [pa.array(frame[f.name], f.type, from_pandas=True) for f in self.row]
+            new.append(pa.RecordBatch.from_arrays(columns, schema=self.row))
+            size += len(frame)
+            first = min(first or END_US, int(frame["ts_us"].min()))
+            if size >= BLOCK:
+                at, new, size = self._write(self.waiting, pa.Table.from_batches(new), at), [], 0
+        if new:
+            self._write(self.waiting, pa.Table.from_batches(new), at)
+        if first is not None and first <= timerValues.getCurrentWatermarkInMs() * 1000:
+            yield from self._advance(timerValues)
+        elif first is not None:
+            self._wake(first, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advance(timerValues)
+
+    def _advance(self, times) -> Iterator[pd.DataFrame]:
+        passed = times.getCurrentWatermarkInMs() * 1000
+        rows = self._read(self.waiting, self.row)
+        ts, ids = (rows.column(c).to_numpy() for c in ("ts_us", "event_id"))
+        due, rest = np.flatnonzero(ts <= passed), np.flatnonzero(ts > passed)
+        due = due[np.lexsort((ids[due], ts[due]))]
+        due = due[ids[due] != END]
+        if len(rest) < len(rows):
+            self.waiting.clear()
+            self._write(self.waiting, rows.take(rest), 0)
+        width = len(self.fold.keys)
+        kept = self._read(self.kept, self.state)
+        states = {key: state for part in self._blocks(kept) for key, state in self._tuples(part, width)}
+        del kept
+        step, ends, changed, out = self.fold.step, self._ends, len(due) > 0, []
+        for at in range(0, len(due), BLOCK):
+            for key, r in self._tuples(rows.take(due[at : at + BLOCK]), width):
+                state = states.pop(key, None)
+                if (until := ends(state)) is not None and until <= r[1]:
+                    state = self._end(key, state, out)
+                state, result = step(state, *r)
+                if state is not None:
+                    states[key] = state
+                if result is not None:
+                    out.append((*key, *result))
+            if len(out) >= BLOCK:
+                yield self._frame(out)
+                out = []
+        left = []
+        for key, state in list(states.items()):
+            if (until := ends(state)) is None:
+                continue
+            if until <= passed:
+                self._end(key, states.pop(key), out)
+                changed = True
+            else:
+                left.append(until)
+        if changed:
+            self.kept.clear()
+            held = [(*key, *state) for key, state in states.items()]
+            for n, at in enumerate(range(0, len(held), BLOCK)):
+                part = [pa.array(c, f.type) for c, f in zip(zip(*held[at : at + BLOCK], strict=True), self.state, strict=True)]
+                self._write(self.kept, pa.Table.from_arrays(part, schema=self.state), n)
+        if len(rest):
+            left.append(int(ts[rest].min()))
+        self._wake(min(left, default=None), times)
+        if out:
+            yield self._frame(out)
+
+    def _ends(self, state) -> int | None:
+        return None if state is None else self.fold.ends(state)
+
+    def _end(self, key: tuple, state, out: list) -> None:
+        if (last := self.fold.at_end(state)) is not None:
+            out.append((*key, *last))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip([*self.fold.keys, *self.fold.results], map(list, zip(*out, strict=True)), strict=True)))
+
+    def _wake(self, us: int | None, times) -> None:
+        """A timer at ``us``, unless the lot has one before that still has to come."""
+        if us is None:
+            return
+        passed, wanted = times.getCurrentWatermarkInMs(), -(-us // 1000)
+        if all(t > wanted or t <= passed for t in self.handle.listTimers()):
+            self.handle.registerTimer(wanted)
+
+    @staticmethod
+    def _blocks(table: pa.Table) -> Iterator[pa.Table]:
+        for at in range(0, len(table), BLOCK):
+            yield table.slice(at, BLOCK)
+
+    @staticmethod
+    def _tuples(table: pa.Table, width: int) -> Iterator[tuple[tuple, tuple]]:
+        """(key, other columns) of each row."""
+        columns = [c.to_pylist() for c in table.columns]
+        others = zip(*columns[width:], strict=True)
+        return zip(zip(*columns[:width], strict=True), others, strict=True)
+
+    @staticmethod
+    def _next(state) -> int:
+        return max((n for (n,) in state.keys()), default=-1) + 1 if state.exists() else 0
+
+    def _write(self, state, table: pa.Table, at: int) -> int:
+        """Blocks from number ``at`` on; the next number."""
+        for part in self._blocks(table.combine_chunks()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(part)
+            state.updateValue((at,), (sink.getvalue().to_pybytes(),))
+            at += 1
+        return at
+
+    @staticmethod
+    def _read(state, schema: pa.Schema) -> pa.Table:
+        blocks = [n for (n,) in state.keys()] if state.exists() else []
+        tables = [pa.ipc.open_stream(bytes(state.getValue((n,))[0])).read_all() for n in sorted(blocks)]
+        return pa.concat_tables(tables) if tables else schema.empty_table()
+
+    def close(self) -> None:
+        pass
+
+
 # ---- the folds ---------------------------------------------------------------------------------
 
 
@@ -210,10 +356,13 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def folded(rows: DataFrame, fold: KeyedFold, wait: str = "0 seconds") -> DataFrame:
-    """Results of a stream of (keys, event_id, ts_us, columns); rows without a time or key are left out."""
+def folded(rows: DataFrame, fold: KeyedFold, wait: str = "0 seconds", lots: int | None = None) -> DataFrame:
+    """Results of a stream of (keys, event_id, ts_us, columns); rows without a time or key are left out. ``lots``: how many lots the keys are dealt to."""
     given = rows.select(*fold.keys, "event_id", "ts_us", *fold.columns).dropna(subset=[*fold.keys, "event_id", "ts_us"])
     timed = given.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", wait)
+    if lots:
+        dealt = timed.withColumn("lot", F.pmod(F.xxhash64(*fold.keys), F.lit(lots)).cast("int"))
+        return dealt.groupBy("lot").transformWithStateInPandas(InLots(fold), fold.schema, "Append", "EventTime")
     return timed.groupBy(*fold.keys).transformWithStateInPandas(InOrder(fold), fold.schema, "Append", "EventTime")
 
 
@@ -227,9 +376,9 @@ def last_change(events: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 class Replay:
     """A fold over a stream that can be run again and again over what has come, and closed at the end."""
 
-    def __init__(self, stream: DataFrame, fold: KeyedFold, place: str, wait: str = "0 seconds", arranged: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+    def __init__(self, stream: DataFrame, fold: KeyedFold, place: str, wait: str = "0 seconds", arranged: Callable[[DataFrame], DataFrame] = lambda rows: rows, lots: int | None = None):
         self.spark, self.fold, self.place = stream.sparkSession, fold, place
-        self.wait = wait
+        self.wait, self.lots = wait, lots
         end = self._last().limit(0)
         end.write.mode("ignore").parquet(f"{place}/end")
         closing = self.spark.readStream.schema(end.schema).parquet(f"{place}/end")
@@ -245,7 +394,7 @@ class Replay:
         for k, v in _ROCKSDB.items():
             self.spark.conf.set(k, v)
         try:
-            out = folded(self.rows, self.fold, self.wait).writeStream.format("parquet").outputMode("append").option("path", f"{self.place}/out")
+            out = folded(self.rows, self.fold, self.wait, self.lots).writeStream.format("parquet").outputMode("append").option("path", f"{self.place}/out")
             self.query = out.option("checkpointLocation", f"{self.place}/checkpoint").trigger(availableNow=True).start()
             self.query.awaitTermination()
         finally:
@@ -261,9 +410,9 @@ class Replay:
         return self.spark.read.schema(self.fold.schema).parquet(f"{self.place}/out")
 
 
-def replayed(spark: SparkSession, stream: DataFrame, fold: KeyedFold, place: str, **more) -> DataFrame:
-    """All results of a stream over what is there now."""
-    replay = Replay(stream, fold, place, **more)
+def replayed(spark: SparkSession, stream: DataFrame, fold: KeyedFold, place: str, lots: int | None = LOTS, **more) -> DataFrame:
+    """All results of a stream over what is there now; keys are dealt to lots, as all rows come in one batch."""
+    replay = Replay(stream, fold, place, lots=lots, **more)
     replay.run()
     replay.close()
     return replay.results()
