@@ -206,3 +206,19 @@ def test_lots_with_text_keys_and_nulls(spark, tmp_path):
         out.append(sorted(map(str, got.collect())))
     assert out[0] == out[1] and len(out[0]) == 200
 
+
+def test_last_change_compares_few(spark):
+    random.seed(10)
+    crowd = [(2, 10**6 + k) for k in range(50)] + [(2, 1), (2, 10**9)]
+    changes = [(0, random.randrange(10**7)) for _ in range(900)] + [(1, 500), (1, 500)] + crowd + [(None, 5), (3, None)]
+    events = [(random.randrange(5), e, random.randrange(-10, 10**7 + 10)) for e in range(400)]
+    events += [(c, 1000 + k, t + d) for k, (c, t) in enumerate(changes) if c is not None and t is not None for d in (-1, 0, 1)]
+    table = spark.createDataFrame(changes, "chat_id long, changed_us long")
+    got = keyed.last_change(spark.createDataFrame(events, "chat_id long, event_id long, ts_us long"), table, "chat_id").collect()
+    times = {c: sorted({t for k, t in changes if k == c and t is not None}) for c in range(5)}
+    assert len(got) == len(events)
+    for r in got:
+        assert r.changed_us == max((t for t in times[r.chat_id] if t <= r.ts_us), default=None)
+    spans, full = keyed.slots(table, "chat_id")
+    assert full.filter("chat_id = 0").selectExpr("max(size(_times))").first()[0] < 40  # of 900
+    assert full.count() <= len(changes)

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilake.operators.state import limiter
@@ -29,6 +29,8 @@ from vigilake.operators.state import limiter
 END, END_US = -(1 << 63), 9_200_000_000_000_000
 #: Lots that the registered streams deal their keys to, and rows of a block. A lot is in one task at a time; their number can't change on a checkpoint.
 LOTS, BLOCK = 256, 65_536
+#: Changes that an event is compared with, if they are spread evenly.
+IN_SLOT = 8
 _ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -366,11 +368,30 @@ def folded(rows: DataFrame, fold: KeyedFold, wait: str = "0 seconds", lots: int
     return timed.groupBy(*fold.keys).transformWithStateInPandas(InOrder(fold), fold.schema, "Append", "EventTime")
 
 
+def slots(changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Changes (key, changed_us) by equal slots of each key's time, about ``IN_SLOT`` to a slot: (key, _first, _last, _width), and
+    (key, _slot, _times, _before) with the sorted changes of each slot and the last one before it. Slots are at most as many as changes.
+    """
+    times = changes.select(key, "changed_us").dropna().distinct()
+    spans = times.groupBy(key).agg(F.min("changed_us").alias("_first"), F.max("changed_us").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    spans = spans.select(key, "_first", "_last", F.expr(f"(_last - _first) div greatest(1, _n div {IN_SLOT}) + 1").alias("_width"))
+    full = times.join(spans, key).groupBy(key, F.expr("(changed_us - _first) div _width").alias("_slot")).agg(F.sort_array(F.collect_list("changed_us")).alias("_times"))
+    by = Window.partitionBy(key).orderBy("_slot")
+    full = full.withColumns({"_before": F.lag(F.array_max("_times")).over(by), "_next": F.lead("_slot").over(by)})
+    gaps = full.filter("_next > _slot + 1").select(key, F.explode(F.expr("sequence(_slot + 1, _next - 1)")).alias("_slot"), F.expr("filter(_times, t -> false)").alias("_times"), F.array_max("_times").alias("_before"))
+    return spans, full.select(*gaps.columns).unionAll(gaps)
+
+
 def last_change(events: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Events with ``changed_us``, the last of the changes (key, changed_us) of their key that aren't after them, as a join of a stream with a table."""
-    times = changes.groupBy(key).agg(F.sort_array(F.collect_set("changed_us")).alias("_changes"))
-    joined = events.join(times, key, "left")
-    return joined.withColumn("changed_us", F.array_max(F.filter("_changes", lambda t: t <= F.col("ts_us")))).drop("_changes")
+    """Events with ``changed_us``, the last of the changes (key, changed_us) of their key that aren't after them, as joins of a stream with a table.
+
+    An event meets the changes of its slot only, not all of its key. Changes that crowd in a small part of a key's time share a slot.
+    """
+    spans, full = slots(changes, key)
+    placed = events.join(spans, key, "left").withColumn("_slot", F.expr("IF(ts_us >= _first AND ts_us < _last, (ts_us - _first) div _width, NULL)"))
+    joined = placed.join(full, [key, "_slot"], "left")
+    found = F.expr("IF(ts_us >= _last, _last, coalesce(array_max(filter(_times, t -> t <= ts_us)), _before))")
+    return joined.select(*[c for c in events.columns if c != "changed_us"], found.alias("changed_us"))
 
 
 class Replay:
