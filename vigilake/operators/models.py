@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vigilake.operators.media import check_labels
 
 #: Images that a model is given at once.
 AT_ONCE = 16
+#: Most rows and bytes of a batch that a worker holds; one larger image is a batch of its own.
+ROWS, BYTES = 512, 4 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 RESULT = "image_id long, labels array<struct<label: string, value: double>>, fast double, error string"
 
 
@@ -24,6 +27,16 @@ class Scorer(Protocol):
     def score(self, images: list[bytes]) -> list[dict[str, float] | Exception]: ...
 
 
+def few_at_once(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ROWS`` rows and ``BYTES`` bytes from here on in this session, as a plan's batches are cut when it runs."""
+    if not 0 < int(spark.conf.get(_ROWS, "10000")) <= ROWS:
+        spark.conf.set(_ROWS, str(ROWS))
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    given = spark.conf.get(_BYTES, None)
+    if given is None or not 0 < size(given) <= BYTES:
+        spark.conf.set(_BYTES, f"{BYTES}b")
+
+
 def scored(images: DataFrame, make: Callable[[], Scorer]) -> DataFrame:
     """Labels, their explicit share and errors of (image_id, content). A task makes its model once.
 
@@ -49,12 +62,11 @@ def scored(images: DataFrame, make: Callable[[], Scorer]) -> DataFrame:
                 return [e] if len(content) == 1 else [r for c in content for r in each([c])]
 
         for batch in batches:
-            ids, content = (batch.column(c).to_pylist() for c in ("image_id", "content"))
             out = []
-            for at in range(0, len(ids), AT_ONCE):
-                part = content[at : at + AT_ONCE]
+            for at in range(0, len(batch), AT_ONCE):
+                ids, part = (batch.column(c).slice(at, AT_ONCE).to_pylist() for c in ("image_id", "content"))
                 results = iter(each([c for c in part if c is not None]))
-                for i, c in zip(ids[at : at + AT_ONCE], part, strict=True):
+                for i, c in zip(ids, part, strict=True):
                     r = ValueError("no image") if c is None else next(results)
                     if isinstance(r, Exception):
                         out.append((i, None, None, str(r) or type(r).__name__))
@@ -63,4 +75,5 @@ def scored(images: DataFrame, make: Callable[[], Scorer]) -> DataFrame:
             columns = zip(*out, strict=True) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    few_at_once(images.sparkSession)
     return images.select("image_id", "content").mapInArrow(run, RESULT)
