@@ -116,6 +116,59 @@ def test_neighbours_by_brute_force():
             assert all(m == (len(want) >= k) for x, m in zip(a.tolist(), many.tolist(), strict=True) if x == id_[i])
 
 
+def test_family_under_the_similarity(spark, monkeypatch):
+    """Texts of one family that are too different to be linked name few of each other, and no link is lost."""
+    random.seed(4)
+    vocabulary = [f"w{random.randrange(10**6)}" for _ in range(3000)]
+    base = random.choices(vocabulary, k=400)
+    texts = [edited(base, 0.06, vocabulary) for _ in range(150)] + [edited(base, 0.004, vocabulary) for _ in range(20)]
+    named, real = [], near_copies.candidates
+
+    def counted(*args):
+        named.append(near_copies.materialize(real(*args), "counted"))
+        return named[-1]
+
+    monkeypatch.setattr(near_copies, "candidates", counted)
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, doc_id long")
+    label = {r.doc_id: r.label for r in near_copies.classes(near_copies.located(df)).collect()}
+    root = components(len(texts), similar_pairs(texts))
+    assert len({(label[d], root[d]) for d in label}) == len(set(label.values())) == len(set(root))
+    # 14,365 pairs, of which many lie within the radius
+    assert sum(x.count() for x in named) <= 12 * len(texts)
+
+
+def test_pairs_are_named_once():
+    """Over all tables, every pair that shares a group of any and has near sketches, whatever its fingerprints' distance within the radius."""
+    import pyarrow as pa
+
+    random.seed(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = [edited(base, share, ["x", "y", "z"]) for share in (0, 0.005, 0.01, 0.02, 0.05, 0.1) for _ in range(12)]
+    words, count = near_copies.word_hashes(pa.array(texts))
+    sketch = near_copies.sketches(words, count)
+    flat, n = near_copies.shingles(words, count, near_copies.WORDS)
+    sets = [set(x.tolist()) for x in np.split(flat, np.cumsum(n)[:-1])]
+    fp = simhash.majority(*near_copies.shingles(words, count, near_copies.INDEX_WORDS))
+    size, ids = np.array([len(x) for x in sets]), np.arange(len(texts))
+    got = []
+    keys = [sum(((fp >> p) & np.uint64(1)).astype(np.int64) << k for k, p in enumerate(bits)) | t << near_copies.BITS for t, bits in enumerate(near_copies.sampled_bits())]
+    for key in keys:
+        named = near_copies.neighbours(key, ids, fp, size, ids, np.ones(len(ids), bool), 1000, sketch.view(np.uint64))
+        a, b, *_ = near_copies._once(*named)
+        got += zip(a.to_pylist(), b.to_pylist(), strict=True)
+    want = set()
+    for i in ids.tolist():
+        for j in range(i + 1, len(ids)):
+            apart = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            assert abs(apart / near_copies.SKETCH - (1 - alike) / 2) < 0.08
+            assert alike < 0.8 or apart <= near_copies.MOST
+            near = int(fp[i] ^ fp[j]).bit_count() <= near_copies.RADIUS and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])
+            if apart <= near_copies.MOST and near and any(key[i] == key[j] for key in keys):
+                want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_edge_rows(spark):
     rows = [(None, "a b c d e f"), (None, "A b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, None), (8, ""), (9, "x" * 60_000), (10, "X" * 60_000), (11, "other words stand here now")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, locator_row int")

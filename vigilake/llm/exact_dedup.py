@@ -46,6 +46,7 @@ def fold(index: DataFrame, path: str, checkpoint: str) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space in advance
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else stores stay in the executors' memory after the run
     }
     before = {k: spark.conf.get(k, None) for k in options}
     for k, v in options.items():

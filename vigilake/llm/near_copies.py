@@ -7,14 +7,18 @@ similarity differ in 2 to 14 of 64 bits, too many for the few wide blocks of ``s
    fingerprints differ less between near copies);
 2. each node is dealt into ``TABLES`` tables by ``BITS`` sampled bits of the fingerprint. Two fingerprints that differ in d bits
    share a group of one table at least with probability 1 - (1 - C(64-d, BITS) / C(64, BITS)) ** TABLES: over 0.999 for 3 bits,
-   0.98 for 6, 0.78 for 9. A group's fingerprints are the tree of ``simhash.GrayIndex``, which gives each node its ``NEAREST``
-   neighbours within ``RADIUS`` bits, of a size that allows the similarity;
-3. every node proposes its nearest neighbour, and whole texts are compared. Links join components (alternating stars); the nodes that had
-   neighbours are looked up again and propose the nearest, then 64 and more neighbours of other components, until none is left. What is in one component is never compared again, so
-   that a group of copies costs about as many comparisons as it has members;
-4. a node that had more neighbours than it could name and isn't done is looked up again with 32 times as many.
-
-So every candidate pair of different components is decided, and none is dropped. Recall is that of the tables.
+   0.98 for 6, 0.78 for 9. A group's fingerprints are the tree of ``simhash.GrayIndex``, which tells the nodes that have a neighbour
+   within ``RADIUS`` bits, of a size that allows the similarity;
+3. only these get a sketch of their text, ``SKETCH`` bits of minima of its shingles' hashes (``sketches``), and are looked up again. Two texts
+   of similarity s differ in (1 - s) / 2 of the bits, so neighbours that differ in more than ``MOST`` are left out: of links of just 0.8
+   about one in a million, of higher ones fewer. A pair is named in the first table that it shares only;
+4. every node names the neighbour of the nearest sketch in each table, and whole texts are compared, the nearest of each node first. Links
+   join components (alternating stars). What is in one component is never compared again, so that a group of copies costs about as many
+   comparisons as it has members;
+5. the nodes are looked up again and name their neighbours of other components, ``MORE`` times as many, which are compared; those that had as
+   many as they could name are looked up again, until none is left.
+
+So every pair of different components that the tables and sketches let pass is decided. Recall is that of the tables.
 
 Nulls: a null text is empty; texts without words are copies of each other. null doc_ids take part and stay only if a component has
 no other. Repeated rows are one node. Ties of doc_id are broken by the locator. Extra columns are kept. A text is used whole, and
@@ -37,7 +41,7 @@ from vigilake.llm.common import LOCATOR, located, marked, materialize, of_place,
 
 WORDS, SIMILARITY = 5, 0.8
 INDEX_WORDS, RADIUS, TABLES, BITS, SEED = 2, 10, 24, 16, 11
-NEAREST = 2
+SKETCH, MOST, MORE = 1024, 150, 2048
 HELD = 200_000  # neighbours that a task holds before it keeps the nearest
 BATCH, PARTITION = 4 << 20, 16 << 20
 PIECE = 1 << 20  # bytes of words that are hashed together
@@ -163,20 +167,95 @@ def sampled_bits() -> np.ndarray:
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
-    """(key, id, fp, n, label, again): each node in its group of every table."""
-    bits = sampled_bits()
-    names = ["id", "fp", "n", "label", "again"]
+    """``nodes`` with ``key``: each node in its group of every table."""
+    bits, names = sampled_bits(), nodes.columns
+    schema = nodes.sparkSession.createDataFrame([], "key int").schema
+    for field in nodes.schema:
+        schema = schema.add(field)
 
     def run(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
+            fp = b.column(names.index("fp")).to_numpy().view(np.uint64)
             for t, places in enumerate(bits):
                 key = np.full(len(fp), t << BITS, np.int64)
                 for k, place in enumerate(places):
                     key |= ((fp >> place) & np.uint64(1)).astype(np.int64) << k
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *b.columns], names=["key", *names])
 
-    return nodes.select(*names).mapInArrow(run, "key int, id long, fp long, n int, label long, again boolean")
+    return nodes.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key")
+
+
+def sketches(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row of ``SKETCH`` bits for each text: one bit of the least of its shingles' hashes under each of as many multipliers; zeros without any."""
+    flat, n = shingles(words, count, WORDS)
+    full = np.flatnonzero(n)
+    bits = np.zeros((len(n), SKETCH), np.uint8)
+    if len(full):
+        starts = np.cumsum(n[full]) - n[full]
+        for k, factor in enumerate(np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64)):
+            least = np.minimum.reduceat(flat * (factor << np.uint64(1) | np.uint64(1)), starts)
+            bits[full, k] = (least >> np.uint64(20)) & np.uint64(1)
+    return np.packbits(bits, axis=1)
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """(id, sketch) of every row of (id, text)."""
+
+    def run(batches):
+        for b in batches:
+            rows = [sketches(*word_hashes(lot)) for lot in _lots(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for lot in rows for x in lot], pa.binary())], names=["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
+
+
+def with_neighbours(nodes: DataFrame) -> DataFrame:
+    """(id) of the nodes that have a neighbour in any table."""
+
+    def run(batches):
+        for key, id_, fp, n in simhash.whole_groups(batches, ["key", "id", "fp", "n"], lambda key, *_: key):
+            yield pa.RecordBatch.from_arrays([pa.array(id_[near_any(key, fp.view(np.uint64), n)])], names=["id"])
+
+    return dealt(nodes.select("id", "fp", "n")).mapInArrow(run, "id long").distinct()
+
+
+def _sorted(group: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Rows in order of group and Gray rank, without those that are alone in their group."""
+    order = np.lexsort((simhash.gray_rank(fp), group))
+    same = group[order][1:] == group[order][:-1]
+    return order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether texts of so many shingles can have the similarity."""
+    return np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)
+
+
+def near_any(group: np.ndarray, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each row has a neighbour in its group."""
+    found = np.zeros(len(fp), bool)
+    order = _sorted(group, fp)
+    if len(order):
+        size = n[order]
+        for a, b in simhash.GrayIndex(group[order], fp[order]).near(RADIUS, np.arange(len(order))):
+            fits = _alike(size[a], size[b])
+            found[order[a[fits]]] = found[order[b[fits]]] = True
+    return found
+
+
+def first_shared(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the table of each group is the first that two fingerprints share; ``x``: the bits in which they differ."""
+    first, table = np.ones(len(x), bool), group >> BITS
+    for t, places in enumerate(sampled_bits()[:-1]):
+        mask = np.bitwise_or.reduce(np.uint64(1) << places)
+        first &= (table <= t) | ((x & mask) != 0)
+    return first
+
+
+def _apart(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ."""
+    lots = [np.bitwise_count(sketch[a[i : i + 16384]] ^ sketch[b[i : i + 16384]]).sum(1, dtype=np.int64) for i in range(0, len(a), 16384)]
+    return np.concatenate(lots) if lots else np.zeros(0, np.int64)
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, id_: np.ndarray, k: int) -> np.ndarray:
@@ -187,26 +266,34 @@ def _nearest(a: np.ndarray, b: np.ndarray, d: np.ndarray, id_: np.ndarray, k: in
     return order[rank < k]
 
 
-def neighbours(group, id_, fp, n, label, again, k: int) -> tuple[np.ndarray, ...]:
-    """(a, b, differing bits, whether a has as many as it may) of the ``k`` nearest of other labels of each node that is looked up again."""
-    order = np.lexsort((simhash.gray_rank(fp), group))
-    same = group[order][1:] == group[order][:-1]
-    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+def neighbours(group, id_, fp, n, label, again, k: int, sketch=None) -> tuple[np.ndarray, ...]:
+    """(a, b, differing bits, whether a has as many as it may) of the ``k`` nearest of other labels of each node that is looked up again.
+
+    With sketches, near is what differs in few of their bits, in ``MOST`` at most, and a pair counts in the first table that it shares.
+    """
+    order = _sorted(group, fp)
+    order = order[again[order] | np.isin(group[order], group[order][again[order]])]  # groups that nobody asks about are left out
     group, id_, fp, n, label, again = (x[order] for x in (group, id_, fp, n, label, again))
+    sketch = sketch if sketch is None else sketch[order]
     none = np.zeros(0, np.int64)
-    held = [none, none, none]
-    asked = again | (np.isin(group, group[again]))  # groups that nobody asks about are left out
-    group, id_, fp, n, label, again = (x[asked] for x in (group, id_, fp, n, label, again))
+    held, most = [none, none, none], HELD
     if len(fp):
         for a, b in simhash.GrayIndex(group, fp).near(RADIUS, label):
-            fits = (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])) & (label[a] != label[b])
+            fits = _alike(n[a], n[b]) & (label[a] != label[b]) & (again[a] | again[b])
+            if sketch is not None:
+                fits &= first_shared(group[a], fp[a] ^ fp[b])
             a, b = a[fits], b[fits]
-            d = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+            if sketch is None:
+                d = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+            else:
+                d = _apart(sketch, a, b)
+                a, b, d = (x[d <= MOST] for x in (a, b, d))
             there, back = again[a], again[b]
             found = (np.concatenate((a[there], b[back])), np.concatenate((b[there], a[back])), np.concatenate((d[there], d[back])))
             held = [np.concatenate(x) for x in zip(held, found, strict=True)]
-            if len(held[0]) > HELD:
+            if len(held[0]) > most:
                 held = _kept(held, id_, k)
+                most = max(HELD, 2 * len(held[0]))
     a, b, d = _kept(held, id_, k)
     many = np.bincount(a, minlength=len(fp))[a] >= k if len(a) else none.astype(bool)
     return id_[a], id_[b], d, many
@@ -217,17 +304,29 @@ def _kept(held: list[np.ndarray], id_: np.ndarray, k: int) -> list[np.ndarray]:
     return [x[keep] for x in held]
 
 
+def _once(a, b, d, many) -> list[pa.Array]:
+    """Each pair once, the smaller id first: (a, b, d, whether a has as many as it may, whether b has)."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    if not len(order):
+        return [pa.array(x, kind) for x, kind in (([], pa.int64()), ([], pa.int64()), ([], pa.int32()), ([], pa.bool_()), ([], pa.bool_()))]
+    low, high, a, d, many = (x[order] for x in (low, high, a, d, many))
+    first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+    of = [np.logical_or.reduceat(many & (a == x), first) for x in (low, high)]
+    return [pa.array(low[first]), pa.array(high[first]), pa.array(d[first].astype(np.int32)), *map(pa.array, of)]
+
+
 def candidates(nodes: DataFrame, k: int) -> DataFrame:
-    """(a, b, d, many): neighbours that nodes name, from (id, fp, n, label, again)."""
-    names = ["key", "id", "fp", "n", "label", "again"]
+    """(a, b, d, many_a, many_b): pairs that nodes name, each once, from (id, fp, n, sketch, label, again)."""
+    names = ["key", "id", "fp", "n", "label", "again", "sketch"]
 
     def run(batches):
-        for key, id_, fp, n, label, again in simhash.whole_groups(batches, names, lambda key, *_: key):
-            a, b, d, many = neighbours(key, id_, fp.view(np.uint64), n, label, again, k)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32)), pa.array(many)], names=["a", "b", "d", "many"])
+        for key, id_, fp, n, label, again, sketch in simhash.whole_groups(batches, names, lambda key, *_: key):
+            bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(key), -1)
+            named = neighbours(key, id_, fp.view(np.uint64), n, label, again, k, bits)
+            yield pa.RecordBatch.from_arrays(_once(*named), names=["a", "b", "d", "many_a", "many_b"])
 
-    grouped = dealt(nodes).repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(run, "a long, b long, d int, many boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("many").alias("many"))
+    return dealt(nodes.select(*names[1:])).mapInArrow(run, "a long, b long, d int, many_a boolean, many_b boolean")
 
 
 class Components:
@@ -258,25 +357,21 @@ class Components:
         return keyed.join(self.compared.toDF("_a", "_b"), ["_a", "_b"], "left_anti").select(*pairs.columns)
 
 
-def decide(named: DataFrame, texts: DataFrame, parts: Components, once: bool = False) -> None:
-    """Compare what nodes named, nearest first, and join the components of those alike, until no pair is left across components.
+def compare(pairs: DataFrame, texts: DataFrame, parts: Components) -> None:
+    """Decide pairs (a, b) by their whole texts and join the components of those alike."""
+    told = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    parts.add(materialize(told.select("a", "b", similarity("x", "y").alias("s")), "near-compared"))
 
-    ``once``: only the nearest of each node, when nothing is joined yet; the nodes are asked again afterwards.
-    """
-    left, most = named, 1
-    while True:
-        left = left if once else materialize(parts.across(left), "near-open")
-        if left.isEmpty():
-            return
-        first = left.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, most).alias("x"))  # TABLES * k at most
-        pairs = first.select("a", F.explode("x.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs, "near-pairs")
-        told = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        told = materialize(told.select("a", "b", similarity("x", "y").alias("s")), "near-compared")
-        parts.add(told)
-        if once:
-            return
-        most *= 64
+
+def decide(named: DataFrame, texts: DataFrame, parts: Components, nearest: bool) -> None:
+    """Compare all named pairs that are of different components; ``nearest``: each node's nearest before the others, which then may be joined."""
+    if nearest:
+        ways = named.select(F.explode(F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d"))).alias("x")).select("x.*")
+        first = ways.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+        compare(materialize(first, "near-pairs"), texts, parts)
+    left = materialize(parts.across(named.select("a", "b")), "near-open")
+    if not left.isEmpty():
+        compare(left, texts, parts)
 
 
 @contextlib.contextmanager
@@ -307,24 +402,21 @@ def _classes(source: DataFrame) -> DataFrame:
     rows = materialize(prints(source), "near-prints")
     nodes = rows.groupBy("s1", "s2").agg(F.min(F.struct(F.struct(*LOCATOR).alias("place"), "fp", "n")).alias("first"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "first.*"), "near-nodes")
-    parts, k, again = Components(spark), NEAREST, None
-    while True:
-        if again is None:
-            asked = nodes.withColumns({"label": F.col("id"), "again": F.lit(True)})
-        else:
-            asked = parts.label(nodes, "id").join(again.withColumn("again", F.lit(True)), "id", "left").withColumn("again", F.col("again").isNotNull())
+    known = materialize(with_neighbours(nodes), "near-known")
+    places = materialize(nodes.join(known, "id", "left_semi").select("id", "place"), "near-places")
+    texts = source.select(F.struct(*LOCATOR).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = marked(texts, places, places.count(), of_place()).filter("listed").join(places, "place").select("id", "text")
+    texts = materialize(texts, "near-texts")
+    told = materialize(nodes.select("id", "fp", "n").join(sketched(texts), "id"), "near-sketches")
+    parts, k, again = Components(spark), 1, known
+    # nodes of one label name none, so that those that had many are looked up until no other label is near
+    while not again.isEmpty():
+        asked = parts.label(told, "id").join(again.withColumn("again", F.lit(True)), "id", "left").withColumn("again", F.col("again").isNotNull())
         named = materialize(candidates(asked, k), "near-candidates")
-        known = named.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        places = materialize(nodes.join(known, "id", "left_semi").select("id", "place"), "near-places")
-        texts = source.select(F.struct(*LOCATOR).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
-        texts = marked(texts, places, places.count(), of_place()).filter("listed").join(places, "place").select("id", "text")
-        decide(named.select("a", "b", "d"), materialize(texts, "near-texts"), parts, once=again is None)
-        unfinished = named if again is None else named.filter("many")
-        again = materialize(unfinished.select(F.col("a").alias("id")).distinct(), "near-again")
-        k *= 32
-        # nodes of one label name none, so that those that had many are looked up until no other label is near
-        if again.isEmpty():
-            break
+        decide(named, texts, parts, nearest=k == 1)
+        many = F.explode(F.filter(F.array(F.when(F.col("many_a"), F.col("a")), F.when(F.col("many_b"), F.col("b"))), lambda x: x.isNotNull()))
+        again = materialize(named.select(many.alias("id")).distinct(), "near-again")
+        k *= MORE
     labelled = parts.label(nodes.select("id", "s1", "s2"), "id")
     ids = materialize(labelled.select("s1", "s2", "label"), "near-labels")
     return rows.join(ids, ["s1", "s2"]).select("doc_id", *LOCATOR, "label")
@@ -334,7 +426,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row, of the smallest doc_id, of each component."""
     renamed, as_given = set_aside(docs)
     source = located(renamed)
-    rows = classes(source.select("doc_id", "text", *LOCATOR))
+    rows = materialize(classes(source.select("doc_id", "text", *LOCATOR)), "near-rows")
     stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *LOCATOR)).alias("stay"))
-    stay = materialize(stay.select(*[F.col(f"stay.{c}").alias(c) for c in LOCATOR]), "near-stay")
-    return as_given(source.join(stay, list(LOCATOR), "left_semi"))
+    stay = stay.select(*[F.col(f"stay.{c}").alias(c) for c in LOCATOR])
+    gone = materialize(rows.join(stay, list(LOCATOR), "left_anti").select(F.struct(*LOCATOR).alias("place")), "near-gone")
+    # few texts go, so only what has the bits of one that goes is moved; columns are packed, as they may have any names
+    own = F.struct(*[F.col(f"`{c}`") for c in source.columns if c not in LOCATOR]).alias("row")
+    told = marked(source.select(own, F.struct(*LOCATOR).alias("place")), gone, gone.count(), of_place())
+    left = told.filter("listed").join(gone, "place", "left_anti").select("row")
+    return as_given(told.filter("not listed").select("row").unionAll(left).select("row.*"))
